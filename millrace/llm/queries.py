@@ -11,6 +11,7 @@ from .chat import chat_windows, read_back
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .near_dedup import near_dedup
 from .sharding import shard
 
 
@@ -37,12 +38,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_windows(told.unionByName(extra)))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), width=4)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op8_chat, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_sharding, op3_mixing, op8_chat, op9_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
