@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chat_windows, read_back
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
 from .sharding import shard
@@ -31,6 +32,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    found = identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -47,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op8_chat, op9_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_sharding, op3_mixing, op7_language_id, op8_chat, op9_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
