@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .chat import chat_windows, read_back
 from .common import table
+from .decontaminate import find_items
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
+from .secret_scan import BASE_RULES, scan
 from .sharding import shard
 
 
@@ -32,6 +34,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [r.kind for r in BASE_RULES]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(joined(of(base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
@@ -55,7 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op7_language_id, op8_chat, op9_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_secret_scan, op5_decontamination, op7_language_id, op8_chat, op9_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
