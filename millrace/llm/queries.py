@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_windows, read_back
@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
+from .quality import quality
 from .secret_scan import BASE_RULES, scan
 from .sharding import shard
 
@@ -48,6 +49,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def label_rows() -> Column:
+    """The rows whose labels may be learned."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_rows())
+    return scored.select("doc_id", (~label_rows()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
@@ -71,7 +82,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_secret_scan, op5_decontamination, op7_language_id, op8_chat, op9_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_secret_scan, op5_decontamination, op6_quality, op7_language_id, op8_chat, op9_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
