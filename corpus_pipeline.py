@@ -1,0 +1,63 @@
+"""The corpus pipeline: quality, near duplicates, benchmark passages, mixing, sharding.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm.common import stored, table
+from millrace.llm.decontaminate import decontaminated
+from millrace.llm.mixing import mixed_documents
+from millrace.llm.near_dedup import first_of_groups
+from millrace.llm.quality import good_documents
+from millrace.llm.queries import label_rows
+from millrace.llm.sharding import shard
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return good_documents(docs, table(spark, sf_dir, "labels"), label_rows())
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays."""
+    return first_of_groups(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """size, shard and slot beside the columns of documents."""
+    return shard(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+#: The classifier is fitted, and hashes name signatures, the order of the mix and the shards: SQL can't express it.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{k}")
+    return docs

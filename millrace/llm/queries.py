@@ -17,6 +17,20 @@ from .near_dedup import near_dedup
 from .quality import quality
 from .secret_scan import BASE_RULES, scan
 from .sharding import shard
+from .toxicity import toxicity
+
+
+def label_rows() -> Column:
+    """The rows whose labels may be learned."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_rows())
+    return scored.select(
+        "doc_id", (~label_rows()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["term"], h["start"].cast("string"), h["end"].cast("string"))), ",").alias("hits"),
+    )
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +63,6 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def label_rows() -> Column:
-    """The rows whose labels may be learned."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
-
-
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_rows())
     return scored.select("doc_id", (~label_rows()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -81,8 +90,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_secret_scan, op5_decontamination, op6_quality, op7_language_id, op8_chat, op9_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_mixing, op4_secret_scan, op5_decontamination, op6_quality, op7_language_id, op8_chat, op9_near_dedup, op10_exact_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
