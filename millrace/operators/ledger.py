@@ -32,8 +32,8 @@ def curve_by_agent(runs: DataFrame) -> DataFrame:
 
 
 def projects_by_usage(runs: DataFrame, limit: int) -> DataFrame:
-    """Count and sum by project, the largest first; a missing project is a project of its own."""
-    named = runs.select(F.coalesce("project", F.lit(UNKNOWN)).alias("project"), total_tokens().alias("total"))
+    """Count and sum of real work by project, the largest first; a missing project is a project of its own."""
+    named = runs.filter(real_work()).select(F.coalesce("project", F.lit(UNKNOWN)).alias("project"), total_tokens().alias("total"))
     return named.groupBy("project").agg(F.count(F.lit(1)).alias("runs"), F.sum("total").alias("total_tokens")).orderBy(F.desc("total_tokens"), "project").limit(limit)
 
 

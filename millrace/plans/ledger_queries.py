@@ -44,7 +44,7 @@ def token_mix(t):
     return ledger.token_mix(t["runs"], "view")
 
 
-@query("runs", sql=f"SELECT coalesce(project, '(unknown)') AS project, count(*) AS runs, CAST(sum({TOTAL}) AS BIGINT) AS total_tokens FROM runs GROUP BY 1 ORDER BY total_tokens DESC, project LIMIT 8")
+@query("runs", sql=f"SELECT coalesce(project, '(unknown)') AS project, count(*) AS runs, CAST(sum({TOTAL}) AS BIGINT) AS total_tokens FROM runs WHERE task_hash IS NULL GROUP BY 1 ORDER BY total_tokens DESC, project LIMIT 8")
 def project_usage(t):
     return ledger.projects_by_usage(t["runs"], 8)
 
@@ -346,9 +346,9 @@ def required_runs(t):
     return cohort.required_runs(cohort.task_noise(ledger.golden_replicates(t["runs"])), 5000.0)
 
 
-@query("rules", sql=f"SELECT id, agent, round(({NOW_S} - coalesce(decided_s, created_s)) / 86400.0e0, 6) AS age_days FROM rules WHERE status = 'active' AND NOT protected AND {NOW_S} - coalesce(decided_s, created_s) >= 30 * 86400")
+@query("rules", sql=f"SELECT id, agent, ({NOW_S} - coalesce(decided_s, created_s)) // 86400 AS age_days FROM rules WHERE status = 'active' AND NOT protected AND {NOW_S} - coalesce(decided_s, created_s) >= 30 * 86400")
 def stale_rules(t):
-    return rounded(cohort.stale_rules(t["rules"], NOW_S).select("id", "agent", "age_days"), "age_days")
+    return cohort.stale_rules(t["rules"], NOW_S).select("id", "agent", F.floor("age_days").alias("age_days"))
 
 
 LAST = "l AS (SELECT * FROM receipts QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY decided_no DESC) = 1), x AS (SELECT l.agent, sum(greatest(0, coalesce(delta, 0))) AS saving, count(*) FILTER (regression) AS regressed FROM l JOIN rules u ON u.id = l.rule_id AND u.status = 'active' GROUP BY l.agent)"
