@@ -51,7 +51,8 @@ def characters(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     for k in range(1, ORDER):
         p = c[np.maximum(at - k, 0)]
         past.append(p if k == 1 else np.where(past[-1] == 0, np.uint32(0), p))
-    return past, np.searchsorted(lines, at, side="right") - 1, seen
+    # the end of a text's last word is the line break after it
+    return past, np.searchsorted(lines, at - 1, side="right") - 1, seen
 
 
 def hashed(past: list[np.ndarray], kind: int) -> np.ndarray:
