@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 from .shingles import mixed, shingle_sets, slices
@@ -31,8 +33,8 @@ def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
-    """A row of ``hashes`` minima for each set; an empty set has the largest value throughout."""
-    out = np.full((len(sets), hashes), 0xFFFFFFFF, dtype=np.uint32)
+    """A row of ``hashes`` minima for each set, 16 bits of each; an empty set has the largest value throughout."""
+    out = np.full((len(sets), hashes), 0xFFFF, dtype=np.uint16)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         all_, starts = np.concatenate([sets[i] for i in full]), np.cumsum([0] + [len(sets[i]) for i in full])[:-1]
@@ -40,7 +42,7 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
         for k, (a, b) in enumerate(zip(*coefficients(hashes), strict=True)):
             np.multiply(all_, a, out=work)
             work += b
-            out[full, k] = np.minimum.reduceat(work, starts) >> np.uint64(32)
+            out[full, k] = (np.minimum.reduceat(work, starts) >> np.uint64(32)).astype(np.uint16)
     return out
 
 
@@ -59,14 +61,17 @@ def least_matches(similarity: float, miss: float, hashes: int) -> dict[int, int]
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray, bounds: dict[int, int]) -> np.ndarray:
-    """Of pairs of signatures (row by row), the numbers of those that no bound drops."""
+def survivors(a: np.ndarray, b: np.ndarray, bounds: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of signatures (row by row), the numbers of those that no bound drops, and their matches.
+
+    Signatures hold 16 bits a hash. Those of different minima may agree by chance, which can only spare a pair.
+    """
     left, got = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
     for n, least in bounds.items():
         got = got + (a[left, n - BATCH : n] == b[left, n - BATCH : n]).sum(axis=1)
         stay = got >= least
         left, got = left[stay], got[stay]
-    return left
+    return left, got
 
 
 def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -77,8 +82,18 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: int) -> DataFrame:
-    """id, row (key of id and text), n, d1, d2 (digest of the set), sig."""
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each band of each signature; its lowest byte numbers the band."""
+    n, hashes = sig.shape
+    bands = hashes // rows
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
+    for c in range(rows):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, c : bands * rows : rows].astype(np.uint64))
+    return (key & ~np.uint64(255)) | np.arange(bands, dtype=np.uint64)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: int, rows: int) -> DataFrame:
+    """id, row (key of id and text), n, d1, d2 (digest of the set), sig (16 bits a hash), keys (one a band)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,6 +104,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: in
                 for first, bodies in slices(part):
                     sets = shingle_sets(bodies, width)
                     sig = signatures(sets, hashes)
+                    keys = band_keys(sig, rows).view(np.int64)
                     here = slice(at + first, at + first + len(bodies))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -98,44 +114,58 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: in
                             pa.array([int(np.sum(s, dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                             pa.array([int(np.sum(mixed(s), dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                             pa.array([x.tobytes() for x in sig], pa.binary()),
+                            pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel())),
                         ],
-                        names=["id", "row", "n", "d1", "d2", "sig"],
+                        names=["id", "row", "n", "d1", "d2", "sig", "keys"],
                     )
                 at += len(part)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "id long, row long, n long, d1 long, d2 long, sig binary")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return source.mapInArrow(work, "id long, row long, n long, d1 long, d2 long, sig binary, keys array<long>")
 
 
-def band_keys(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """row, band, key for each band of each node."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(len(batch), -1)
-            for j in range(bands):
-                key = np.full(len(batch), j + 1, dtype=np.uint64)
-                for c in range(j * rows, (j + 1) * rows):
-                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, c].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.full(len(batch), j, dtype=np.int32)), pa.array(key.view(np.int64))], names=["row", "band", "key"])
-
-    return nodes.select("row", "sig").mapInArrow(work, "row long, band int, key long")
+def sigs_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), dtype=np.uint16).reshape(len(batch), -1)
 
 
 def pruned(pairs: DataFrame, nodes: DataFrame, bounds: dict[int, int]) -> DataFrame:
-    """The pairs (hub, row) that the bounds on their signatures leave."""
+    """The pairs (hub, row) that the bounds on their signatures leave, and their matches."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-                yield batch.select(["hub", "row"]).take(pa.array(survivors(a, b, bounds)))
+                left, got = survivors(sigs_of(batch, "sig_a"), sigs_of(batch, "sig_b"), bounds)
+                kept = batch.select(["hub", "row"]).take(pa.array(left))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(got, pa.int64())], names=["hub", "row", "got"])
 
     sigs = nodes.select("row", "sig")
     both = pairs.join(sigs.withColumnRenamed("sig", "sig_b"), "row").join(sigs.select(F.col("row").alias("hub"), F.col("sig").alias("sig_a")), "hub")
-    return both.select("hub", "row", "sig_a", "sig_b").mapInArrow(work, "hub long, row long")
+    return both.select("hub", "row", "sig_a", "sig_b").mapInArrow(work, "hub long, row long, got long")
+
+
+def texts_of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, most_bits: int = 1 << 26) -> DataFrame:
+    """row, text for the rows named (row).
+
+    A bitmap of the hashes asked for (8 bits for each, at most ``most_bits`` in all, 8 MB) drops most other texts where they are read; the
+    semi-join that follows is exact, so beyond that size only more texts move.
+    """
+    rows = rows.distinct()
+    n = rows.count()
+    bits = min(most_bits, max(1 << 10, 1 << (8 * n).bit_length()))
+    slot = F.pmod("row", F.lit(bits))
+    words = rows.select(F.shiftright(slot, 5).alias("w"), F.pow(F.lit(2.0), slot % 32).cast("long").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap = np.zeros(bits // 32, dtype=np.uint32)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf(T.BooleanType())
+    def asked(row: pd.Series) -> pd.Series:
+        at = row.to_numpy() % bits
+        return pd.Series((held.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text")).filter(asked("row"))
+    return texts.join(rows, "row", "left_semi").dropDuplicates(["row"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -154,9 +184,8 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
                         found.append(i)
             yield batch.select(["hub", "row"]).take(pa.array(found, pa.int64()))
 
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    needed = pairs.select("row").union(pairs.select("hub")).distinct()
-    texts = stored(texts.join(needed, "row", "left_semi").dropDuplicates(["row"]), "near-texts")
+    pairs = pairs.select("hub", "row")
+    texts = stored(texts_of(docs, pairs.select("row").union(pairs.select(F.col("hub").alias("row"))), id_col, text_col), "near-texts")
     both = pairs.join(texts, "row").join(texts.select(F.col("row").alias("hub"), F.col("text").alias("hub_text")), "hub")
     return both.select("hub", "row", "text", "hub_text").mapInArrow(work, "hub long, row long")
 
@@ -182,55 +211,113 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, bounds: dict[int, int], rows: int) -> DataFrame:
-    """Pairs (hub, row) across components within buckets, but for those with the hub, that the bounds leave.
+def rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, bounds: dict[int, int], rows: int, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Links (hub, row) across components within buckets.
 
-    Members outside a bucket's largest component are dealt into blocks of about BLOCK; each block meets all members of the bucket. A pair is
-    taken up in the first band that its nodes share. A task holds one block and, piece by piece, those it meets.
+    Members outside a bucket's largest component are dealt into blocks of about BLOCK; each block meets all members of the bucket. Pairs that the bounds leave are verified on full sets where they meet, the nearest by
+    signature first, and are passed over once links have joined their components. A task holds one block and, piece by piece,
+    those it meets, so no pair is ever a row and no bucket has to fit a task.
     """
-    told = members.join(labels, F.col("row") == F.col("node"), "left").select("band", "key", "row", F.coalesce("root", "row").alias("root"))
-    parts = told.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("c"))
+    told = members.join(labels, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("root", "row").alias("root"))
+    told = stored(told, "near-told")
+    parts = told.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     buckets = (
-        parts.groupBy("band", "key")
+        parts.groupBy("key")
         .agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("several"))
         .filter("several > 1 AND all > 2")
-        .select("band", "key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("blocks"))
+        .select("key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("blocks"))
     )
-    in_open = told.join(buckets, ["band", "key"]).withColumn("minor", F.col("root") != F.col("top"))
-    own = F.pmod(F.xxhash64("row", "band"), F.col("blocks")).cast("int")
-    dealt = in_open.select("band", "key", "row", "root", F.when(F.col("minor"), own).alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    full = dealt.join(nodes.select("row", "sig"), "row").select("band", "key", "block", "row", "root", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("here"), "own", "sig")
+    in_open = told.join(buckets, "key")
+    own = F.when(F.col("root") != F.col("top"), F.pmod(F.xxhash64("row", "key"), F.col("blocks")).cast("int"))
+    dealt = in_open.select("key", "row", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(nodes.select("row", "sig"), "row")
+    dealt = stored(dealt.select("key", "block", "row", "root", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("here"), "own", "sig"), "near-dealt")
+
+    def near_pairs(batch: pa.RecordBatch, state: dict) -> Iterator[tuple[np.ndarray, list]]:
+        """(pairs: matches, number held, number in the batch, nearest first; what is held) for each stretch of one block.
+
+        Rows come by bucket and block, those of the block first; only these are held.
+        """
+        sig = sigs_of(batch, "sig")
+        key, block, row, root = (batch.column(c).to_numpy() for c in ("key", "block", "row", "root"))
+        here, own = batch.column("here").to_numpy(zero_copy_only=False), batch.column("own").fill_null(-1).to_numpy()
+        turn = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+        for s, e in zip([0, *turn], [*turn, len(batch)], strict=True):
+            if state.get("now") != (key[s], block[s]):
+                state["now"], state["held"] = (key[s], block[s]), []
+            held = state["held"]
+            held += [{"row": row[i], "root": int(root[i]), "sig": sig[i], "batch": batch, "at": int(i)} for i in np.flatnonzero(here[s:e]) + s]
+            lead, near = int(key[s] & 255) * rows, []
+            for h, x in enumerate(held):
+                # a pair within the block, or between two blocks, is met once
+                at = s + np.flatnonzero((root[s:e] != x["root"]) & ((own[s:e] < 0) | (own[s:e] > block[s]) | (here[s:e] & (row[s:e] > x["row"]))))
+                if lead and len(at):
+                    # nor again after the first band that the two share
+                    at = at[~(sig[at, :lead] == x["sig"][:lead]).reshape(len(at), -1, rows).all(axis=2).any(axis=1)]
+                if len(at):
+                    left, got = survivors(np.broadcast_to(x["sig"], (len(at), sig.shape[1])), sig[at], bounds)
+                    near.append(np.stack([got, np.full(len(left), h), at[left]]))
+            if near:
+                pairs = np.concatenate(near, axis=1)
+                yield pairs[:, np.argsort(-pairs[0], kind="stable")], held
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+        for batch in batches:
+            if len(batch):
+                row, met = batch.column("row").to_numpy(), []
+                for pairs, held in near_pairs(batch, state):
+                    name = state["now"]
+                    met += [(*name, row[i]) for i in np.unique(pairs[2])] + [(*name, held[h]["row"]) for h in np.unique(pairs[1])]
+                if met:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in met], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["key", "block", "row"])
+
+    def by_block(df: DataFrame) -> DataFrame:
+        return df.repartition("key", "block").sortWithinPartitions("key", "block", F.col("here").desc())
+
+    # texts move for rows only that some pair still needs
+    met = by_block(dealt).mapInArrow(mark, "key long, block int, row long").distinct()
+    dealt = stored(dealt.join(met, ["key", "block", "row"], "left_semi"), "near-dealt")
+    full = dealt.join(texts_of(docs, dealt.select("row"), id_col, text_col), "row")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come by bucket and block, those of the block first; only these are held
-        now, ids, roots, sigs = None, [], [], []
+        state: dict = {}
+        joined: dict[int, int] = {}
+
+        def root_of(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        def sets_of(texts: list[str | None]) -> list[np.ndarray]:
+            return [x for _, bodies in slices(texts) for x in shingle_sets(bodies, width)]
+
         for batch in batches:
             if not len(batch):
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(len(batch), -1)
-            band, key, block, row, root = (batch.column(c).to_numpy() for c in ("band", "key", "block", "row", "root"))
-            here, own = batch.column("here").to_numpy(zero_copy_only=False), batch.column("own").fill_null(-1).to_numpy()
-            turn = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            for s, e in zip([0, *turn], [*turn, len(batch)], strict=True):
-                if now != (name := (band[s], key[s], block[s])):
-                    now, ids, roots, sigs = name, [], [], []
-                for i in np.flatnonzero(here[s:e]) + s:
-                    ids.append(row[i])
-                    roots.append(root[i])
-                    sigs.append(sig[i])
-                for i, r, g in zip(ids, roots, sigs, strict=True):
-                    # a pair within the block, or between two blocks, is met once
-                    at = s + np.flatnonzero((root[s:e] != r) & ((own[s:e] < 0) | (own[s:e] > block[s]) | (here[s:e] & (row[s:e] > i))))
-                    if band[s] and len(at):
-                        lead = band[s] * rows
-                        at = at[~(sig[at, :lead] == g[:lead]).reshape(-1, band[s], rows).all(axis=2).any(axis=1)]
-                    if len(at):
-                        at = at[survivors(np.broadcast_to(g, (len(at), len(g))), sig[at], bounds)]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(row[at])], names=["hub", "row"])
-
-    placed = full.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", F.col("here").desc())
-    return placed.mapInArrow(work, "hub long, row long").distinct()
+            row, root, text, found = batch.column("row").to_numpy(), batch.column("root").to_numpy(), batch.column("text"), []
+            for pairs, held in near_pairs(batch, state):
+                met = np.unique(pairs[2])
+                sets = dict(zip(met.tolist(), sets_of(text.take(pa.array(met)).to_pylist()), strict=True))
+                for h, i in pairs[1:].T.tolist():
+                    x = held[h]
+                    a, b = root_of(x["root"]), root_of(int(root[i]))
+                    if a == b:
+                        continue
+                    if "set" not in x:
+                        x["set"] = sets_of([x["batch"].column("text")[x["at"]].as_py()])[0]
+                    if reaches(x["set"], sets[i], percent):
+                        joined[max(a, b)] = min(a, b)
+                        found.append((x["row"], row[i]))
+            for x in state.get("held", []):
+                # the text's set stands for the batch that it came in
+                if x["batch"] is not None:
+                    if "set" not in x:
+                        x["set"] = sets_of([x["batch"].column("text")[x["at"]].as_py()])[0]
+                    x["batch"] = None
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["hub", "row"])
+
+    return by_block(full.select("key", "block", "row", "root", "here", "own", "sig", "text")).mapInArrow(work, "hub long, row long")
 
 
 def near_dedup(
@@ -247,26 +334,32 @@ def near_dedup(
     posterior at which a pair is dropped.
     """
     bounds = least_matches(percent / 100, miss, hashes)
-    bands = hashes // rows
-    marks = stored(sketches(docs, id_col, text_col, width, hashes), "near-marks")
+    marks = stored(sketches(docs, id_col, text_col, width, hashes, rows), "near-marks")
+    # of a class the row with the smallest id; row keys are hashes, so among equal ids their order is as good as any
     classes = marks.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes, "near-classes")
     lead = classes.select(F.col("row").alias("c_row")).distinct()
-    nodes = stored(marks.filter("n > 0").join(lead, F.col("row") == F.col("c_row"), "left_semi").select("row", "sig").dropDuplicates(["row"]), "near-nodes")
-    keys = band_keys(nodes, bands, rows)
-    rank = F.xxhash64(F.col("row"), F.lit(5))
-    keys = stored(keys, "near-keys")
-    hubs = keys.groupBy("band", "key").agg(F.min_by("row", F.struct(rank, "row")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    members = stored(keys.join(hubs, ["band", "key"]), "near-members")
-    pairs = members.filter("row <> hub").select("hub", "row").distinct()
-    close = stored(pruned(pairs, nodes, bounds), "near-close")
-    links = stored(verified(close, docs, id_col, text_col, width, percent).select(F.col("hub").alias("a"), F.col("row").alias("b")), "near-links")
+    nodes = stored(marks.filter("n > 0").select("row", "sig", "keys").join(lead, F.col("row") == F.col("c_row"), "left_semi").dropDuplicates(["row"]), "near-nodes")
+    keys = nodes.select("row", F.explode("keys").alias("key"))
+    # rows are hashes, so the smallest is a random hub, the same in most buckets of a group
+    hubs = keys.groupBy("key").agg(F.min("row").alias("hub"), F.max("row").alias("last")).filter("hub <> last").select("key", "hub")
+    members = stored(keys.join(hubs, "key"), "near-members")
+    close = stored(pruned(members.filter("row <> hub").select("hub", "row").distinct(), nodes, bounds), "near-close")
+    # the nearest hub of a row first; its others only where that left them apart
+    first = close.groupBy("row").agg(F.max_by("hub", F.struct("got", "hub")).alias("hub"))
+    how = (docs, id_col, text_col, width, percent)
+    links = stored(verified(first, *how).select(F.col("hub").alias("a"), F.col("row").alias("b")), "near-links")
     labels = components(links)
-    later = stored(rest(members, labels, nodes, bounds, rows), "near-rest")
-    if not later.isEmpty():
-        more = verified(later, docs, id_col, text_col, width, percent).select(F.col("hub").alias("a"), F.col("row").alias("b"))
-        links = stored(links.union(more), "near-links")
+    root = lambda c: labels.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(f"r_{c}"))
+    open_ = close.join(root("hub"), F.col("hub") == F.col("n_hub"), "left").join(root("row"), F.col("row") == F.col("n_row"), "left")
+    open_ = open_.filter(F.coalesce("r_hub", "hub") != F.coalesce("r_row", "row")).select("hub", "row").join(first, ["hub", "row"], "left_anti")
+    open_ = stored(open_, "near-open")
+    if not open_.isEmpty():
+        links = links.union(stored(verified(open_, *how).select(F.col("hub").alias("a"), F.col("row").alias("b")), "near-links"))
         labels = components(links)
+    more = stored(rest(members.select("key", "row"), labels, nodes, docs, bounds, rows, id_col, text_col, width, percent).select(F.col("hub").alias("a"), F.col("row").alias("b")), "near-links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     named = classes.join(labels, F.col("row") == F.col("node"), "left").select("n", "d1", "d2", "least", "copies", F.coalesce("root", "row").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("name"), F.sum("copies").alias("size"))
     # only classes in a group of several rows need its name
