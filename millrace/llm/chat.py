@@ -6,22 +6,22 @@ its span; only assistant texts of the span itself are under the loss mask, so a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums
+from .common import prefix_sums, stored
 
 TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
 # what the templates in use take for control: <|...|>, <s>, </s>, [INST], [/INST], <<SYS>>, <</SYS>>
 CONTROL = r"(<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\]))"
 
 
-def escaped(text: Column) -> Column:
+def escaped(text: str | Column) -> Column:
     """Doubles each backslash and puts one inside each control string, so no control string is left; ``unescaped`` reverts it."""
     return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), CONTROL, r"$1\\")
 
 
-def unescaped(text: Column) -> Column:
+def unescaped(text: str | Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
@@ -57,10 +57,11 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 192, overh
         .withColumn("sys", system)
         .withColumn("span", span)
         .withColumn("win", F.floor((F.col("before") + F.col("tokens") - 1) / stretch))
-        .withColumn("left", (F.col("win") + 1) * stretch - F.col("before"))
+        .withColumn("left", F.max(F.col("before") + F.col("tokens")).over(Window.partitionBy("conv_id", "win")) - F.col("before"))
         .withColumn("body", escaped(F.col("raw")))
         .select("conv_id", "nth", "win", "left", "tokens", "role", piece.alias("piece"), F.length("body").alias("chars"), F.length(F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(BODY))).alias("head"))
     )
+    rows = stored(rows, "chat-turns")  # read three times below
     learned = F.col("role") == "assistant"
     own = rows.select("conv_id", "win", F.lit(2).alias("kind"), "nth", "piece", "tokens", F.when(learned, F.col("head")).alias("skip"), "chars")
     past = rows.filter((F.col("left") <= history) & ~((F.col("nth") == 0) & (F.col("role") == "system"))).select(
