@@ -122,3 +122,14 @@ def test_failures_and_fences(spark):
     assert [r.x for r in df.select(X.classify_failure("s", "e").alias("x")).collect()] == [True, True, False, False, True]
     assert column(spark, ["```json\n{}\n```", "{}"], "string", X.strip_fence) == ["{}", "{}"]
     assert column(spark, ["a good rule body", "short", "bad\x07rule body", "x" * 201], "string", X.valid_rule_body) == [True, False, False, False]
+
+
+def test_replies(spark):
+    good, two = '{"body": "a good rule body"}', '[{"body":"a good rule body"},{"body":"another good one"}]'
+    assert column(spark, [two, f"```json\n{two}\n```", '[{"body":"short"}]', "x", "[]"], "string", X.parsed_rules) == [["a good rule body", "another good one"]] * 2 + [None, None, []]
+    assert column(spark, [good, "{}", "nope"], "string", X.parsed_rewrite) == ["a good rule body", None, None]
+    assert [tuple(r) for r in column(spark, ['{"done":true}', '{"search":" q "}', '{"search":" "}', "x"], "string", X.parsed_plan)] == [("answer", None), ("search", " q "), ("invalid", None), ("invalid", None)]
+    assert column(spark, ["ok", "-p", "a\nb", "x" * 8001], "string", X.safe_prompt) == [True, False, False, False]
+    assert column(spark, ["x" * 19, "x" * 20], "string", X.too_short_to_compress) == [True, False]
+    df = spark.createDataFrame([("a", 3, "mail x@y.org", "s1")], "a string, i int, p string, s string")
+    assert 'id: "a-draft-03"' in (t := df.select(X.draft_file("a", "i", "p", "s").alias("t")).first().t) and "[EMAIL]" in t
