@@ -53,10 +53,12 @@ def measured(runs: DataFrame, reserve: DataFrame, kinds: DataFrame, z: float = 2
     kinds: comparison_id, kind, banked, measured_side. The first round adds as many runs as the measured side has, where they cut the variance most, or all of the
     round where no variance is known. Audits whose noise reaches into the banked margin may take ``most_rounds`` further rounds on both sides.
     """
-    state = assess(runs, z, sessions)
+    # each round builds on what the one before measured, so its plan ends there
+    runs, kinds = runs.checkpoint(), kinds.checkpoint()
+    state = assess(runs, z, sessions).checkpoint()
     more = state.join(kinds, C, "left")
     extra = retention_rounds(more, "banked", sessions, most_rounds).withColumnRenamed("rounds", "extra")
-    budget = state.select(C).join(kinds, C, "left").join(extra, C).select(C, "measured_side", (F.lit(1) + F.when(F.col("kind") == AUDIT, F.col("extra")).otherwise(0)).alias("budget"))
+    budget = state.select(C).join(kinds, C, "left").join(extra, C).select(C, "measured_side", (F.lit(1) + F.when(F.col("kind") == AUDIT, F.col("extra")).otherwise(0)).alias("budget")).checkpoint()
     taken = state.select(C, F.lit(0).alias("rounds"))
     for k in range(1, most_rounds + 2):
         todo = state.filter("uncertain").select(C).join(budget.filter(F.col("budget") >= k), C)
@@ -71,10 +73,11 @@ def measured(runs: DataFrame, reserve: DataFrame, kinds: DataFrame, z: float = 2
             wants = allocated(side, sizes, most)
             mine = mine.withColumn("nth", F.row_number().over(Window.partitionBy(C, T).orderBy("run_no"))).join(wants, [C, T], "left").join(wants.select(C).distinct().withColumn("known", F.lit(True)), C, "left")
             mine = mine.filter(F.col("known").isNull() | (F.col("nth") <= F.coalesce("add", F.lit(0))))
-        runs = runs.unionByName(mine.select(*runs.columns))
-        new = assess(runs, z, sessions)
-        taken = taken.unionByName(todo.select(C, F.lit(k).alias("rounds")))
-        state = new
+        if todo.isEmpty():
+            break
+        runs = runs.unionByName(mine.select(*runs.columns)).checkpoint()
+        taken = taken.unionByName(todo.select(C, F.lit(k).alias("rounds"))).checkpoint()
+        state = assess(runs, z, sessions).checkpoint()
     rounds = taken.groupBy(C).agg(F.max("rounds").alias("rounds"))
     return state.join(rounds, C), runs
 
