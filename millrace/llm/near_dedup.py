@@ -235,7 +235,8 @@ def rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFram
     def near_pairs(batch: pa.RecordBatch, state: dict) -> Iterator[tuple[np.ndarray, list]]:
         """(pairs: matches, number held, number in the batch, nearest first; what is held) for each stretch of one block.
 
-        Rows come by bucket and block, those of the block first; only these are held.
+        Rows come by bucket and block, those of the block first and by key; only these are held. So of two in the block the larger
+        comes in the same batch or a later one, and meets the smaller there.
         """
         sig = sigs_of(batch, "sig")
         key, block, row, root = (batch.column(c).to_numpy() for c in ("key", "block", "row", "root"))
@@ -272,7 +273,7 @@ def rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFram
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in met], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["key", "block", "row"])
 
     def by_block(df: DataFrame) -> DataFrame:
-        return df.repartition("key", "block").sortWithinPartitions("key", "block", F.col("here").desc())
+        return df.repartition("key", "block").sortWithinPartitions("key", "block", F.col("here").desc(), "row")
 
     # texts move for rows only that some pair still needs
     met = by_block(dealt).mapInArrow(mark, "key long, block int, row long").distinct()

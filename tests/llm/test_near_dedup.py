@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from millrace.llm.near_dedup import components, first_of_groups, least_matches, near_dedup, signatures
+from millrace.llm.near_dedup import components, first_of_groups, least_matches, near_dedup, rest, signatures, sketches
 from millrace.llm.shingles import mixed, shingle_sets, slices, word_hashes
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,6 +74,27 @@ def test_group_around_the_threshold(documents):
     check(documents, rows)
 
 
+def test_block_over_several_batches(spark, documents):
+    # one bucket of pairs of near copies, of which no link is known; each row comes in a batch of its own
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        w = text(rng, 60)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, "more"]))]
+    docs = documents(rows)
+    nodes = sketches(docs, "doc_id", "text", 4, 128, 4).localCheckpoint()
+    ids = {r.row: r.id for r in nodes.collect()}
+    members = nodes.selectExpr("CAST(0 AS long) AS key", "row")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(batch)
+    spark.conf.set(batch, "1")
+    try:
+        found = rest(members, spark.createDataFrame([], "node long, root long"), nodes, docs, least_matches(0.8, 1e-6, 128), 4, "doc_id", "text", 4, 80).collect()
+    finally:
+        spark.conf.set(batch, old)
+    assert sorted(sorted((ids[r.hub], ids[r.row])) for r in found) == [[2 * k, 2 * k + 1] for k in range(30)]
+
+
 def test_empty_nulls_and_clashes(documents):
     assert near_dedup(documents([])).collect() == []
     got = near_dedup(documents([(None, "a b c d e f"), (3, "a b c d e f"), (None, "lonely")]).selectExpr("*", "1 AS row", "2 AS sig", "3 AS n"), width=4).collect()
