@@ -22,8 +22,8 @@ def normalised(text: str) -> str:
 
 
 def budget(length: int, rate: float, piece: int) -> int:
-    """Edits allowed: ``rate`` of the length, but not so many that a piece gets shorter than ``piece``."""
-    return max(0, min(int(rate * length), length // piece - 1))
+    """Edits allowed: ``rate`` of the length; none in an item under ``piece`` characters, whose own pieces would be too short to lead anywhere."""
+    return min(int(rate * length), length - 1) if length >= piece else 0
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -136,8 +136,8 @@ def find_items(
 ) -> DataFrame:
     """A row for each row of ``docs`` and item in it: id, item_id, distance, budget, start, end (in the normalised text).
 
-    Normalised: lower case, blanks run together. An item may differ by ``rate`` of its length in edits, fewer where pieces would fall under ``piece``
-    characters. The nearest occurrence counts, of equals the first found. Null and empty texts hold nothing, null and empty items are in nothing; rows
+    Normalised: lower case, blanks run together. An item may differ by ``rate`` of its length in edits; one under ``piece`` characters has to occur
+    as it is. The nearest occurrence counts, of equals the first found. Null and empty texts hold nothing, null and empty items are in nothing; rows
     that repeat are found each; a null id is kept; empty tables give no rows. Items reach the executors in lots of ``most_chars`` characters,
     with a pass over ``docs`` for each lot, so no broadcast outgrows that.
     """

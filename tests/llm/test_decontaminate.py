@@ -66,6 +66,22 @@ def test_finds_all_within_budget(spark, documents):
     assert sorted(r.doc_id for r in clean) == sorted(i for i, _ in rows if i not in dirty)
 
 
+def test_the_whole_rate_is_allowed(spark, documents):
+    rng = random.Random(13)
+    items = [(n, "".join(rng.choice("abcdefghij") for _ in range(n))) for n in (12, 20, 35, 81, 120, 233)]
+    rows, want = [], set()
+    for n, t in items:
+        for more in (0, 1):
+            k = n // 10 + more
+            cut = [n * (2 * i + 1) // (2 * k) for i in range(k)]
+            rows.append((len(rows), "".join("#" if i in cut else c for i, c in enumerate(t))))
+            if not more:
+                want.add((len(rows) - 1, n))
+    got = find_items(documents(rows), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and all(r.distance == r.budget for r in got)
+    assert {r.doc_id for r in decontaminated(documents(rows), spark.createDataFrame(items, ITEMS)).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_pieces_cover():
     assert "".join(p for _, p in pieces("abcdefghij", 3)) == "abcdefghij" and len(pieces("abcdefghij", 3)) == 4
 
