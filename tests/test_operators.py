@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import cohort, inference, ledger, resampling, retrieval, similarity, windows
+from millrace.plans import text_queries
 from millrace.schemas import RUNS, TABLES, empty, migrated
 from millrace.sources import corpus, ledger_files, transcripts
 
@@ -302,6 +303,11 @@ def test_import_and_contradictions(spark):
     assert got == {1: "opposite polarity, shared terms: 2"}
 
 
+def test_contradicting_lines_reads_all_documents(spark):
+    t = {"rules": spark.createDataFrame([(7, "building rule")], "id long, body string"), "documents": spark.createDataFrame([(1, "Always use BUILDING rule"), (2, "Always use the building rule")], "doc_id long, text string")}
+    assert [(r.rule_id, r.doc_id) for r in text_queries.contradicting_lines(t).collect()] == [(7, "1")]
+
+
 # transcripts and files
 
 LOG = """﻿{"type":"user","sessionId":"s1","message":{"role":"user","content":"Please look at the parser and fix it"}}
