@@ -321,19 +321,8 @@ def rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFram
     return by_block(full.select("key", "block", "row", "root", "here", "own", "sig", "text")).mapInArrow(work, "hub long, row long")
 
 
-def near_dedup(
-    docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 128, rows: int = 4, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row a row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
-
-    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered. The set of a text: its distinct shingles of ``width`` words; all words as one where there are
-    fewer; empty without words or text, and then linked with nothing. Linked: 100 * intersection >= ``percent`` * union. Rows that
-    repeat are linked. Rows with a null id join groups but never name one unless all ids of the group are null. An empty table
-    gives no rows; other columns aren't read.
-
-    ``hashes`` / ``rows`` bands: at a similarity of 0.8, 32 bands of 4 miss a pair with probability 5e-8. ``miss`` bounds the
-    posterior at which a pair is dropped.
-    """
+def classes_of(docs: DataFrame, width: int, percent: int, hashes: int, rows: int, miss: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(sketches of all rows; classes of equal sets: n, d1, d2, row, least, copies, root), where ``root`` is the same throughout a group."""
     bounds = least_matches(percent / 100, miss, hashes)
     marks = stored(sketches(docs, id_col, text_col, width, hashes, rows), "near-marks")
     # of a class the row with the smallest id; row keys are hashes, so among equal ids their order is as good as any
@@ -361,7 +350,23 @@ def near_dedup(
     more = stored(rest(members.select("key", "row"), labels, nodes, docs, bounds, rows, id_col, text_col, width, percent).select(F.col("hub").alias("a"), F.col("row").alias("b")), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    named = classes.join(labels, F.col("row") == F.col("node"), "left").select("n", "d1", "d2", "least", "copies", F.coalesce("root", "row").alias("root"))
+    return marks, classes.join(labels, F.col("row") == F.col("node"), "left").select("n", "d1", "d2", "row", "least", "copies", F.coalesce("root", "row").alias("root"))
+
+
+def near_dedup(
+    docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 128, rows: int = 4, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row a row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
+
+    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered. The set of a text: its distinct shingles of ``width`` words; all words as one where there are
+    fewer; empty without words or text, and then linked with nothing. Linked: 100 * intersection >= ``percent`` * union. Rows that
+    repeat are linked. Rows with a null id join groups but never name one unless all ids of the group are null. An empty table
+    gives no rows; other columns aren't read.
+
+    ``hashes`` / ``rows`` bands: at a similarity of 0.8, 32 bands of 4 miss a pair with probability 5e-8. ``miss`` bounds the
+    posterior at which a pair is dropped.
+    """
+    marks, named = classes_of(docs, width, percent, hashes, rows, miss, id_col, text_col)
     names = named.groupBy("root").agg(F.min("least").alias("name"), F.sum("copies").alias("size"))
     # only classes in a group of several rows need its name
     grouped = named.join(names.filter("size > 1"), "root").select(F.col("n").alias("g_n"), F.col("d1").alias("g_1"), F.col("d2").alias("g_2"), "name")
@@ -376,7 +381,16 @@ def near_dedup(
     )
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that ``near_dedup`` keeps, one of each id; columns as in ``docs``."""
-    kept = near_dedup(docs, id_col=id_col, **how).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+def first_of_groups(
+    docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 128, rows: int = 4, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of ``docs`` for each group of ``near_dedup``, that with the smallest id (null last); columns as in ``docs``.
+
+    Groups are told by their links, not by their ids, so ids that are null or repeat over unlike texts lose no row. Rows without words are
+    linked with nothing and stay, but of those that repeat with their id one.
+    """
+    marks, named = classes_of(docs, width, percent, hashes, rows, miss, id_col, text_col)
+    leads = named.groupBy("root").agg(F.min_by("row", F.struct(F.col("least").isNull(), "least", "row")).alias("__row")).select("__row", F.lit(False).alias("__each"))
+    blank = marks.filter("n = 0").select(F.col("row").alias("__row"), F.col("id").isNull().alias("__each")).distinct()
+    kept = docs.withColumn("__row", F.xxhash64(id_col, text_col)).join(leads.unionByName(blank), "__row")
+    return kept.withColumn("__nth", F.when(F.col("__each"), F.monotonically_increasing_id())).dropDuplicates(["__row", "__nth"]).select(*docs.columns)

@@ -103,6 +103,15 @@ def test_empty_nulls_and_clashes(documents):
     assert sorted(r.doc_id for r in kept) == [1, 3]
 
 
+def test_first_of_groups_by_row(documents):
+    rng = random.Random(14)
+    one, two, three, four, five = (" ".join(text(rng, 40)) for _ in range(5))
+    rows = [(None, one), (None, two), (None, two + " more"), (7, three), (7, four), (7, four), (8, four + " more"), (None, three), (9, five), (9, five + " more"), (None, ""), (None, ""), (5, ""), (5, "")]
+    kept = [(r.doc_id, plain_set(r.text, 5) & plain_set(" ".join((one, two, three, four, five)), 5)) for r in first_of_groups(documents(rows)).collect()]
+    want = [(None, one), (None, two), (7, three), (7, four), (9, five), (None, ""), (None, ""), (5, "")]
+    assert sorted(map(str, ((i, sorted(s)) for i, s in kept))) == sorted(map(str, ((i, sorted(plain_set(t, 5))) for i, t in want)))
+
+
 def test_words_and_long_texts():
     rng = random.Random(9)
     texts = ["", "a", " a  B\x0bc\x1fd é ", "x" * 3_000_000 + " end", " ".join(text(rng, 500))]
