@@ -33,7 +33,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 192, overh
     system is repeated in every window. The span of a window is what is left of ``budget`` after the system turn and ``history``, at least a quarter of
     it; a window takes the turns that end within its stretch of the prefix sums, where a stretch is shorter than the span by the
     longest turn (but not under a quarter of the span), so windows keep the budget unless one turn is longer than that: then over_budget is true.
-    The turns at the end of the stretch before, ``history`` tokens at most, are repeated without loss. ``repeated`` counts the turns before the span.
+    The turns at the end of the window before, ``history`` tokens at most, are repeated without loss. ``repeated`` counts the turns before the span.
     An empty table gives no rows; other columns aren't read.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
@@ -61,14 +61,17 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 192, overh
         .withColumn("body", escaped(F.col("raw")))
         .select("conv_id", "nth", "win", "left", "tokens", "role", piece.alias("piece"), F.length("body").alias("chars"), F.length(F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(BODY))).alias("head"))
     )
-    rows = stored(rows, "chat-turns")  # read three times below
+    rows = stored(rows, "chat-turns")  # read several times below
     learned = F.col("role") == "assistant"
     own = rows.select("conv_id", "win", F.lit(2).alias("kind"), "nth", "piece", "tokens", F.when(learned, F.col("head")).alias("skip"), "chars")
-    past = rows.filter((F.col("left") <= history) & ~((F.col("nth") == 0) & (F.col("role") == "system"))).select(
-        "conv_id", (F.col("win") + 1).alias("win"), F.lit(1).alias("kind"), "nth", "piece", "tokens", F.lit(None).cast("int").alias("skip"), "chars"
+    # a turn longer than the stretch leaves window numbers out, so the window that follows is that of the next turn
+    wins = stored(rows.groupBy("conv_id", "win").agg(F.min("nth").alias("low"), F.max("nth").alias("high")), "chat-windows")
+    ends = wins.select(F.col("conv_id").alias("e_conv"), F.col("win").alias("e_win"), (F.col("high") + 1).alias("e_next"))
+    ends = ends.join(wins.select("conv_id", F.col("win").alias("next"), "low"), F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("low") == F.col("e_next"))).select("e_conv", "e_win", "next")
+    past = rows.filter((F.col("left") <= history) & ~((F.col("nth") == 0) & (F.col("role") == "system"))).join(ends, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("win") == F.col("e_win"))).select(
+        "conv_id", F.col("next").alias("win"), F.lit(1).alias("kind"), "nth", "piece", "tokens", F.lit(None).cast("int").alias("skip"), "chars"
     )
     first = rows.filter((F.col("nth") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("f_conv"), F.col("win").alias("f_win"), "nth", "piece", "tokens", "chars")
-    wins = rows.select("conv_id", "win").distinct()
     again = wins.join(first, F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("win") != F.col("f_win"))).select(
         "conv_id", "win", F.lit(0).alias("kind"), "nth", "piece", "tokens", F.lit(None).cast("int").alias("skip"), "chars"
     )
@@ -85,8 +88,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 192, overh
         ),
     )
     tokens = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    # a window whose stretch holds no turn's end has nothing of its own
-    return parts.filter(F.exists("p", lambda x: x["kind"] == 2)).select(
+    return parts.select(
         "conv_id", "win",
         F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"),
         spans["loss"].alias("loss"),

@@ -62,6 +62,16 @@ def test_system_and_history_are_repeated(spark):
     assert all(w.repeated >= 2 for w in windows[1:]) and not any(w.over_budget for w in windows)
 
 
+def test_history_reaches_past_a_long_turn(spark):
+    for conv, head in ((1, []), (None, [(None, 0, "system", "rules")])):
+        rows = head + [(conv, 1, "user", "question " * 5), (conv, 2, "assistant", "answer " * 60), (conv, 3, "user", "thanks")]
+        windows = sorted(chat_windows(spark.createDataFrame(rows, TURNS), budget=200, history=64).collect(), key=lambda w: w.win)
+        reply = next(w for w in windows if "assistant" in w.text)
+        assert windows[0].win + 1 < reply.win and reply.repeated == 1 + len(head)
+        assert "<|turn|>user<|text|>question" in reply.text and reply.text.index("question") < reply.text.index("answer")
+        assert sum(w.text.count("<|end|>") - w.repeated for w in windows) == len(rows)
+
+
 def test_escape(spark):
     texts = [*CONTROLS, "a<|b", "[INST", "<", "<|", "", "[[INST]]", "\\<|end|>"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", escaped("t").alias("e")).select("t", "e", unescaped("e").alias("u"))
