@@ -65,10 +65,12 @@ class Pattern:
 
 
 class Finder:
-    def __init__(self, items: list[tuple[int, str]], rate: float, piece: int):
-        self.items = {}
+    """Finds items, known by their place in the lot: ids may repeat or be null."""
+
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, piece: int):
+        self.ids, self.items = [i for i, _ in items], {}
         where: dict[str, list[tuple[int, int]]] = {}
-        for i, raw in items:
+        for i, (_, raw) in enumerate(items):
             text = normalised(raw)
             if not text:
                 continue
@@ -96,7 +98,7 @@ class Finder:
         return distance, end - back[1], end
 
     def find(self, text: str, first_only: bool = False) -> dict[int, tuple[int, int, int]]:
-        """item: (distance, start, end) of its nearest occurrence in the normalised text."""
+        """place of an item: (distance, start, end) of its nearest occurrence in the normalised text."""
         out: dict[int, tuple[int, int, int]] = {}
         if not self.items:
             return out
@@ -122,7 +124,7 @@ class Finder:
         return out
 
 
-def item_lots(benchmark: DataFrame, item_col: str, text_col: str, most_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_lots(benchmark: DataFrame, item_col: str, text_col: str, most_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items, in lots of about ``most_chars`` characters, one lot on the driver at a time."""
     own = benchmark.select(F.col(item_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
     total = own.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -134,11 +136,11 @@ def item_lots(benchmark: DataFrame, item_col: str, text_col: str, most_chars: in
 def find_items(
     docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, piece: int = 12, most_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """A row for each row of ``docs`` and item in it: id, item_id, distance, budget, start, end (in the normalised text).
+    """A row for each row of ``docs`` and row of ``benchmark`` in it: id, item_id, distance, budget, start, end (in the normalised text).
 
     Normalised: lower case, blanks run together. An item may differ by ``rate`` of its length in edits; one under ``piece`` characters has to occur
     as it is. The nearest occurrence counts, of equals the first found. Null and empty texts hold nothing, null and empty items are in nothing; rows
-    that repeat are found each; a null id is kept; empty tables give no rows. Items reach the executors in lots of ``most_chars`` characters,
+    of either table that repeat, in id or text, are found each; null ids are kept; empty tables give no rows. Items reach the executors in lots of ``most_chars`` characters,
     with a pass over ``docs`` for each lot, so no broadcast outgrows that.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -152,7 +154,7 @@ def find_items(
             finder = Finder(held.value, rate, piece)
             for batch in batches:
                 for first, texts in lots(batch.column("text")):
-                    got = [(first + i, item, finder.items[item][1], *hit) for i, t in enumerate(texts) for item, hit in sorted(finder.find(t).items())]
+                    got = [(first + i, finder.ids[n], finder.items[n][1], *hit) for i, t in enumerate(texts) for n, hit in sorted(finder.find(t).items())]
                     if got:
                         at, item, k, distance, start, end = zip(*got, strict=True)
                         ints = [pa.array(x, pa.int32()) for x in (distance, k, start, end)]

@@ -82,6 +82,18 @@ def test_the_whole_rate_is_allowed(spark, documents):
     assert {r.doc_id for r in decontaminated(documents(rows), spark.createDataFrame(items, ITEMS)).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_item_ids_that_repeat_or_are_null(spark, documents):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("abcdefghijklm") for _ in range(60)) for _ in range(5)]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (2, texts[4])], ITEMS)
+    docs = documents([(i, f"before {t} after") for i, t in enumerate(texts)] + [(9, "clean"), (10, " ".join(texts))])
+    got = find_items(docs, items).collect()
+    each = [1, 1, None, None, 2, 2]
+    assert sorted(map(str, ((r.doc_id, r.item_id) for r in got))) == sorted(map(str, [(min(i, 4), x) for i, x in enumerate(each)] + [(10, x) for x in each]))
+    assert all(r.distance == 0 for r in got)
+    assert [r.doc_id for r in decontaminated(docs, items).collect()] == [9]
+
+
 def test_pieces_cover():
     assert "".join(p for _, p in pieces("abcdefghij", 3)) == "abcdefghij" and len(pieces("abcdefghij", 3)) == 4
 
