@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 An item with an error budget of k edits is split into k + 1 pieces: wherever it occurs with at most k edits, one piece occurs exactly. One pass
-of an automaton over each text finds all piece hits; Myers' bit-parallel distance verifies the stretch around each.
+of an automaton over each text finds all piece hits; Myers' bit-parallel distance verifies the stretch around each, from the pair of pieces that
+holds the hit up to the item.
 """
 
 from __future__ import annotations
@@ -32,6 +33,23 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def runs(item: str, k: int, q: int) -> list[tuple[int, int, int, list[str]]]:
+    """(start, end, edits, parts) of the runs that hold piece ``q`` of k + 1 when the pieces are halved again and again, shortest first; neither piece nor item.
+
+    Of two halves of a and b pieces with at most a + b - 1 edits, one has fewer edits than pieces. So an occurrence has a piece without edits all of
+    whose runs have fewer edits than pieces. That piece is at an end of its shortest run, so the edits of that are in the rest: one of its ``parts`` has none.
+    """
+    out, a, b = [], 0, k + 1
+    at = lambda x: len(item) * x // (k + 1)
+    while b - a > 2:
+        mid = (a + b) // 2
+        a, b = (a, mid) if q < mid else (mid, b)
+        if b - a > 1:
+            rest = item[at(a) : at(q)] + item[at(q + 1) : at(b)]
+            out.append((at(a), at(b), b - a - 1, [x for _, x in pieces(rest, b - a - 1)]))
+    return out[::-1]
+
+
 class Pattern:
     """Myers' bit-parallel edit distance of one item against stretches of text."""
 
@@ -76,14 +94,15 @@ class Finder:
                 continue
             k = budget(len(text), rate, piece)
             self.items[i] = text, k, Pattern(text), Pattern(text[::-1])
-            for a, s in pieces(text, k):
-                where.setdefault(s, []).append((i, a))
+            for q, (_, s) in enumerate(pieces(text, k)):
+                where.setdefault(s, []).append((i, q))
         self.machine = ahocorasick.Automaton()
         for s, hits in where.items():
             self.machine.add_word(s, (len(s), hits))
         if where:
             self.machine.make_automaton()
         self.check = lru_cache(maxsize=20_000)(self._check)
+        self.part, self.runs = lru_cache(maxsize=20_000)(Pattern), lru_cache(maxsize=20_000)(runs)
 
     def _check(self, i: int, stretch: str) -> tuple[int, int, int] | None:
         text, k, forward, backward = self.items[i]
@@ -97,6 +116,16 @@ class Finder:
         back = backward.best(stretch[:end][::-1][: len(text) + k], distance)
         return distance, end - back[1], end
 
+    def _runs_fit(self, whole: str, k: int, q: int, start: int, text: str) -> bool:
+        """Whether all runs of pieces around piece ``q`` have fewer edits than pieces where the item would begin at ``start``."""
+        for nth, (lo, hi, most, parts) in enumerate(self.runs(whole, k, q)):
+            stretch = text[max(0, start + lo - most) : max(0, start + hi + most)]
+            if nth == 0 and not any(x in stretch for x in parts):
+                return False
+            if self.part(whole[lo:hi]).best(stretch, most) is None:
+                return False
+        return True
+
     def find(self, text: str, first_only: bool = False) -> dict[int, tuple[int, int, int]]:
         """place of an item: (distance, start, end) of its nearest occurrence in the normalised text."""
         out: dict[int, tuple[int, int, int]] = {}
@@ -105,16 +134,18 @@ class Finder:
         done: dict[int, tuple[int, int]] = {}
         text = normalised(text)
         for last, (size, hits) in self.machine.iter(text):
-            for i, a in hits:
+            for i, q in hits:
                 if i in out and out[i][0] == 0:
                     continue
                 whole, k, _, _ = self.items[i]
-                start = last + 1 - size - a
+                start = last + 1 - size - len(whole) * q // (k + 1)
                 # the hits of one occurrence place it within k of one another, so the first stretch serves them all
                 lo, hi = max(0, start - 2 * k), start + len(whole) + 2 * k
                 seen = done.get(i)
                 if seen and seen[0] <= max(0, start - k) and start + len(whole) + k <= seen[1]:
                     continue
+                if not self._runs_fit(whole, k, q, start, text):
+                    continue
                 done[i] = lo, hi
                 got = self.check(i, text[lo:hi])
                 if got and (i not in out or got[0] < out[i][0]):
