@@ -80,14 +80,18 @@ def verdict(delta: str | Column, cost: str | Column, sessions: float = DEFAULT_S
 
 
 def verdict_reason(delta: str | Column, cost: str | Column, regression: str | Column, sessions: float = DEFAULT_SESSIONS) -> Column:
-    """Why: a regression first, then no measurement, no saving, too small a saving, or a pass; the bar is shown rounded up."""
+    """Why, in the words stored on a rule (fixed): a regression first, then no measurement, no saving, too small a saving, or a pass.
+
+    The bar is shown rounded up, so it never reads as low as a saving that misses it.
+    """
     d, bar = col(delta), F.ceil(2 * effective_rent(cost, sessions)).cast("string")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     return (
-        F.when(col(regression), "regression")
-        .when(d.isNull(), "no measurement")
-        .when(d <= 0, F.concat(F.lit("no saving: "), d.cast("string")))
-        .when(d < 2 * effective_rent(cost, sessions), F.concat(F.lit("saves "), d.cast("string"), F.lit(", needs "), bar))
-        .otherwise(F.concat(F.lit("saves "), d.cast("string"), F.lit(", bar "), bar))
+        F.when(col(regression), "regression: a previously passing golden task failed")
+        .when(d.isNull(), "no comparable completed runs")
+        .when(d <= 0, said("non-positive delta (", d, ")"))
+        .when(d < 2 * effective_rent(cost, sessions), said("sub-threshold: savings ", d, " < 2× cache-aware rent (", bar, ")"))
+        .otherwise(said("savings ", d, " ≥ 2× cache-aware rent (", bar, ")"))
     )
 
 
@@ -113,6 +117,18 @@ def signed(x: str | Column) -> Column:
     return F.concat(F.when(v > 0, "+").otherwise(""), F.format_number(v, 0))
 
 
+def percent_of(current: str | Column, base: str | Column) -> Column:
+    """Change against a first run, one decimal with its sign; n/a where either is 0."""
+    c, b = col(current), col(base)
+    change = (c - b) * 100.0 / F.when(b != 0, b)
+    return F.when((b == 0) | (c == 0), "n/a").otherwise(F.concat(F.when(change >= 0, "+").otherwise(""), F.format_string("%.1f%%", change)))
+
+
+def duration(ms: str | Column) -> Column:
+    """Milliseconds as seconds with one decimal."""
+    return F.format_string("%.1fs", col(ms) / 1000.0)
+
+
 def footprint() -> Column:
     return F.col("input_chars") + F.col("result_chars")
 
@@ -173,15 +189,15 @@ def array_median(values: Column) -> Column:
 
 
 def classify_tool(name: str | Column, skill: str | Column) -> Column:
-    """struct(kind, grp, label): skills by their name, mcp__server__tool by server and tool, all else built in."""
+    """struct(kind, grp, label): skills by their name, mcp__server__tool by server and tool, all else by its own name; the groups of the first and last are fixed."""
     n, s = col(name), col(skill)
     parts = F.split(n, "__")
     server = F.coalesce(F.nullif(F.get(parts, 1), F.lit("")), F.lit("(unknown)"))
     tool = F.coalesce(F.nullif(F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), "__"), F.lit("")), F.lit("(unknown)"))
     known = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("(unknown)"))
     kind = F.when(n == "Skill", "skill").when(n.startswith("mcp__"), "mcp").otherwise("builtin")
-    grp = F.when(kind == "skill", known(s)).when(kind == "mcp", server).otherwise("builtin")
-    label = F.when(kind == "skill", known(s)).when(kind == "mcp", tool).otherwise(known(n))
+    grp = F.when(kind == "skill", "(skills)").when(kind == "mcp", server).otherwise("(builtin)")
+    label = F.when(kind == "skill", known(s)).when(kind == "mcp", tool).otherwise(n)
     return F.struct(kind.alias("kind"), grp.alias("grp"), label.alias("label"))
 
 

@@ -35,29 +35,31 @@ def assess_cohorts(totals: DataFrame, least: int = 5) -> DataFrame:
 
 def governance(verdict: str | Column = "verdict") -> Column:
     v = F.col(verdict) if isinstance(verdict, str) else verdict
-    return F.when(v == "regressed", "review").when(v == "improved", "keep").when(v == "no-change", "watch").otherwise("wait")
+    return F.when(v == "regressed", "re-audit").when(v == "improved", "corroborated").when(v == "no-change", "no-signal").otherwise("insufficient-data")
 
 
 def confirm(fixture: DataFrame, cohorts: DataFrame) -> DataFrame:
-    """Fixture savings per agent against the verdict in production."""
-    f = fixture.select(F.col("agent"), "saving", "regressed")
+    """What fixtures promise per agent against the verdict in production.
+
+    Without active rules, or without a saving among them, there is nothing to confirm, whatever production says. Else an improvement corroborates, a regression
+    contradicts, and anything else, too few sessions included, leaves it unconfirmed.
+    """
+    f = fixture.select("agent", "active_rules", "saving", "regressed")
     outcome = (
-        F.when(F.coalesce(F.col("saving"), F.lit(0)) <= 0, F.when(F.col("verdict") == "improved", "unexplained").otherwise("nothing-claimed"))
-        .when(F.col("verdict") == "improved", "confirmed")
-        .when(F.col("verdict") == "regressed", "contradicted")
-        .when(F.col("verdict") == "no-change", "unconfirmed")
-        .otherwise("insufficient-data")
-    )
-    return cohorts.join(f, "agent", "left").withColumn("outcome", outcome)
+        F.when((F.coalesce("active_rules", F.lit(0)) == 0) | (F.coalesce("saving", F.lit(0)) <= 0), "nothing-to-confirm")
+        .when(F.col("verdict") == "improved", "corroborated").when(F.col("verdict") == "regressed", "contradicted").otherwise("unconfirmed")
+    )
+    return cohorts.join(f, "agent", "left").withColumn("active_rules", F.coalesce("active_rules", F.lit(0))).withColumn("outcome", outcome)
 
 
 def fixture_side(receipts: DataFrame, rules: DataFrame, order: str = "decided_no") -> DataFrame:
-    """Per agent of active rules: the sum of positive savings of the last receipts, and the regressed rules."""
-    last = receipts.withColumn("__n", F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc(order)))).filter("__n = 1")
-    active = rules.filter("status = 'active'").select(F.col("id").alias("rule_id"))
-    return last.join(active, "rule_id", "left_semi").groupBy("agent").agg(
-        F.sum(F.greatest(F.lit(0), F.coalesce("delta", F.lit(0)))).alias("saving"), F.sort_array(F.collect_list(F.when(F.col("regression"), F.col("rule_id")))).alias("regressed")
-    )
+    """Per agent of active rules: how many there are, the sum of positive savings of their last receipts, and the regressed ones."""
+    last = receipts.groupBy("rule_id").agg(F.max_by(F.struct("delta", "regression"), order).alias("r"))
+    active = rules.filter("status = 'active'").select("agent", F.col("id").alias("rule_id"))
+    return active.join(last, "rule_id", "left").groupBy("agent").agg(
+        F.count(F.lit(1)).alias("active_rules"), F.sum(F.greatest(F.lit(0), F.coalesce("r.delta", F.lit(0)))).alias("saving"),
+        F.sort_array(F.collect_list(F.when(F.col("r.regression"), F.col("rule_id")))).alias("regressed"),
+    )
 
 
 def rank_variance(totals: DataFrame, least: int = 3, window: int = 10) -> DataFrame:

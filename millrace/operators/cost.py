@@ -2,52 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import CACHE_READ, CACHE_WRITE, blended_rate, dollars_for, half_up, price, ratio, total_tokens
+from millrace.functions.scalars import blended_rate, col, dollars_for, half_up, price, total_tokens
+from millrace.operators.ledger import COUNTERS, recent_tokens
+from millrace.schemas import real_work
 
 
-def positive(c: str):
-    return F.when(F.col(c) > 0, F.col(c).cast("double")).otherwise(0.0)
+def counted(c: str) -> Column:
+    """A count of tokens as the prices take it: nothing below 0, nothing missing."""
+    return F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-def rule_costs(receipts: DataFrame, rate: float, model: str = "sonnet", sessions: float = 20.0) -> DataFrame:
-    """Rent, savings, net and weekly dollars, the cost of finding a rule and the sessions until it has paid for itself."""
-    p = price(F.lit(model), "input")
-    rent = positive("context_cost") * (p * CACHE_READ + p * CACHE_WRITE / sessions) / 1_000_000
-    saving = positive("delta") * rate
-    found = positive("runs") * (positive("with_tokens") + positive("without_tokens")) * rate
-    out = receipts.withColumns({"rent": rent, "saving": saving, "discovery": found}).withColumn("net", F.col("saving") - F.col("rent"))
-    out = out.withColumns({"weekly": F.col("net") * sessions, "break_even": F.when(F.col("net") > 0, F.ceil(F.col("discovery") / F.when(F.col("net") > 0, F.col("net"))))})
-    return out.select("rule_id", "agent", "rent", "saving", "net", "weekly", "discovery", "break_even")
+def rule_costs(receipts: DataFrame, rate: str | Column, sessions: float = 20.0) -> DataFrame:
+    """Rent, savings, net and weekly dollars of each receipt, the cost of finding its rule and the sessions until that is paid back.
 
+    Rent is the context cost at the input price of the receipt's model; savings are the measured delta at ``rate`` dollars a token. Finding a rule
+    took its runs on both sides. A rule without a net gain never breaks even.
+    """
+    out = receipts.withColumns({
+        "rent": counted("context_cost") * price("model", "input") / 1_000_000, "saving": counted("delta") * col(rate),
+        "discovery": counted("runs") * (counted("with_tokens") + counted("without_tokens")) * col(rate),
+    }).withColumn("net", F.col("saving") - F.col("rent"))
+    paid = F.when(F.col("net") > 0, F.ceil(F.col("discovery") / F.when(F.col("net") > 0, F.col("net"))))
+    return out.withColumns({"weekly": F.col("net") * sessions, "break_even": paid}).select("rule_id", "agent", "model", "delta", "rent", "saving", "net", "weekly", "discovery", "break_even")
 
-def agent_rates(runs: DataFrame) -> DataFrame:
-    """Dollars a token at each agent's mix, and its mean real work."""
-    sums = runs.filter("task_hash IS NULL").groupBy("agent", F.coalesce("model", F.lit("")).alias("model")).agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_creation", "cache_read")], F.count(F.lit(1)).alias("runs"))
-    both = sums.select("agent", "runs", dollars_for("model").alias("dollars"), total_tokens().alias("tokens"))
-    g = both.groupBy("agent").agg(F.sum("dollars").alias("dollars"), F.sum("tokens").alias("tokens"), F.sum("runs").alias("runs"))
-    return g.select("agent", "runs", ratio(F.col("dollars"), F.col("tokens")).alias("rate"), ratio(F.col("tokens"), F.col("runs")).alias("mean_tokens"))
 
+def agent_mix(runs: DataFrame) -> DataFrame:
+    """Per agent the sums of the four counters over its completed runs of any kind."""
+    return runs.filter("completed").groupBy("agent").agg(*[F.sum(c).alias(c) for c in COUNTERS])
 
-def project_agents(costs: DataFrame, rates: DataFrame, weeks: float = 4.0, sessions: float = 20.0) -> DataFrame:
-    """Savings over ``weeks`` by agent, against what its work costs."""
+
+def mixed_rate(model: str | Column) -> Column:
+    """Dollars a token of ``model`` at the counters beside it, which may be missing; the input price where there are none."""
+    return F.coalesce(blended_rate(model), price(model, "input") / 1_000_000)
+
+
+def agent_costs(rules: DataFrame, receipts: DataFrame, runs: DataFrame, sessions: float = 20.0, order: str = "decided_no") -> DataFrame:
+    """The active rules that have a receipt, priced by the last one at its own model and their agent's mix of tokens; the most dollars a week first."""
+    last = receipts.drop("agent", "status").groupBy("rule_id").agg(F.max_by(F.struct("delta", "context_cost", "runs", "with_tokens", "without_tokens", "model"), order).alias("r"))
+    active = rules.filter("status = 'active'").select("agent", F.col("id").alias("rule_id"))
+    priced = active.join(last, "rule_id").select("rule_id", "agent", "r.*").join(agent_mix(runs), "agent", "left").withColumn("rate", mixed_rate("model"))
+    return rule_costs(priced, "rate", sessions).orderBy("agent", F.desc("weekly"), F.col("delta").desc_nulls_last(), "rule_id")
+
+
+def project_agents(costs: DataFrame, runs: DataFrame, weeks: float = 4.0, sessions: float = 20.0) -> DataFrame:
+    """What the rules of each agent save over ``weeks``, against its work without them.
+
+    ``costs``: rows of ``agent_costs``. The baseline is the agent's mean completed real work at its mix and the model of the rule that earns most a week; it is null
+    where no such work is known, and so are the cost with rules and the share saved. An agent without rules has its baseline and nothing else.
+    """
     horizon = int(weeks * sessions + 0.5)
-    g = costs.groupBy("agent").agg(F.sum("net").alias("net"), F.sum("saving").alias("saving"), F.sum("discovery").alias("discovery"), F.count(F.lit(1)).alias("rules"))
-    out = g.join(rates, "agent", "left").withColumns({"gross": F.col("net") * horizon, "baseline": F.coalesce(F.col("mean_tokens") * F.col("rate") * horizon, F.lit(0.0))})
-    return out.select("agent", "rules", "gross", "baseline", (F.col("gross") - F.col("discovery")).alias("after_discovery"), ratio(F.col("gross") * 100, F.col("baseline")).alias("pct_saved"))
+    top = F.max_by("model", F.struct("weekly", F.coalesce("delta", F.lit(-(1 << 62))), -F.col("rule_id")))
+    sums = costs.groupBy("agent").agg(*[F.sum(c).alias(c) for c in ("net", "saving", "discovery")], F.count(F.lit(1)).alias("rules"), top.alias("model"))
+    work = runs.filter("completed").groupBy("agent").agg(*[F.sum(c).alias(c) for c in COUNTERS], F.avg(F.when(real_work(), total_tokens())).alias("mean_tokens"))
+    j = work.join(sums, "agent", "full_outer").na.fill(0.0, ["net", "saving", "discovery"]).na.fill(0, ["rules"])
+    out = j.withColumns({
+        "gross_savings": F.col("saving") * horizon, "net_benefit": F.col("net") * horizon - F.col("discovery"), "baseline": F.col("mean_tokens") * mixed_rate("model") * horizon,
+    })
+    gains = (F.col("net") > 0) & (F.col("discovery") > 0)
+    return out.select(
+        "agent", "rules", F.col("net").alias("net_per_session"), "gross_savings", F.col("discovery").alias("operating_cost"), "net_benefit",
+        F.when(gains, F.ceil(F.col("discovery") / F.when(gains, F.col("net")))).alias("break_even"), "baseline",
+        (F.col("baseline") - F.col("net") * horizon + F.col("discovery")).alias("with_rules"),
+        F.when(F.col("baseline") > 0, F.col("net_benefit") / F.when(F.col("baseline") > 0, F.col("baseline"))).alias("share_saved"),
+    )
 
 
 def run_dollars(runs: DataFrame) -> DataFrame:
     return runs.select("id", dollars_for("model").alias("dollars"), blended_rate("model").alias("rate"))
 
 
-def meta_cost(runs: DataFrame, most: float = 0.1) -> DataFrame:
-    """Tokens spent on measuring against real work; a ratio over ``most`` is worth a warning."""
-    g = runs.agg(F.sum(F.when(F.col("task_hash").isNotNull(), total_tokens())).alias("bench"), F.sum(F.when(F.col("task_hash").isNull(), total_tokens())).alias("real"))
-    r = F.when(F.col("real") > 0, F.coalesce("bench", F.lit(0)) / F.when(F.col("real") > 0, F.col("real")))
-    return g.select(F.coalesce("bench", F.lit(0)).alias("bench"), F.coalesce("real", F.lit(0)).alias("real"), r.alias("share"), F.coalesce(r > most, F.lit(False)).alias("warn"))
+def meta_cost(bench: DataFrame, runs: DataFrame, now: Column, most: float = 0.1) -> DataFrame:
+    """Tokens of the measuring runs ``bench`` against the real work of the last seven days; over ``most`` of it is worth a warning, without real work nothing can be said."""
+    spent = bench.agg(F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("bench"))
+    g = spent.withColumn("real", recent_tokens(runs, now).scalar())
+    r = F.when(F.col("real") > 0, F.col("bench") / F.when(F.col("real") > 0, F.col("real")))
+    return g.select("bench", "real", r.alias("share"), F.coalesce(r > most, F.lit(False)).alias("warn"))
 
 
 def weekly_saving(rules: DataFrame, rate: float, sessions: float = 20.0) -> DataFrame:

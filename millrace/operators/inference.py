@@ -151,11 +151,16 @@ def top_up(tasks: DataFrame, budget: int, side: str = "xw") -> DataFrame:
 
 
 def retention_rounds(assessed: DataFrame, banked: str = "delta", sessions: float = 20.0, most: int = 2) -> DataFrame:
-    """Extra rounds before a weak audit may count as a strike, by how far noise could reach into the margin."""
+    """Per comparison the extra rounds of ``rounds_of``."""
+    return assessed.select(C, rounds_of(banked, sessions, most).alias("rounds"))
+
+
+def rounds_of(banked: str = "delta", sessions: float = 20.0, most: int = 2) -> Column:
+    """Extra rounds before a weak audit may count as a strike, by how far noise could reach into the margin; over rows of ``assess``."""
     margin = F.col(banked) - 2 * effective_rent("cost", sessions)
     need = F.ceil(F.col("multiple") * F.col("standard_error") / F.when(margin > 0, margin)) - 1
     ok = ~F.col("regression") & F.col(banked).isNotNull() & F.col("standard_error").isNotNull() & (margin > 0)
-    return assessed.select(C, F.when(ok, F.least(F.greatest(need, F.lit(0)), F.lit(most))).otherwise(0).cast("int").alias("rounds"))
+    return F.when(ok, F.least(F.greatest(need, F.lit(0)), F.lit(most))).otherwise(0).cast("int")
 
 
 def compare_configs(runs: DataFrame, z: float = 2.0) -> DataFrame:
@@ -172,9 +177,10 @@ def compare_configs(runs: DataFrame, z: float = 2.0) -> DataFrame:
 
 
 def verdict_line() -> Column:
+    """Only a saving above 0 is cheaper; no difference, or none known, counts as dearer."""
     return (
         F.when(F.col("regression"), "regression").when(F.col("environment_failure"), "environment failure").when(F.col("tasks") < 2, "too few tasks")
-        .when(F.col("uncertain"), "uncertain").when(F.col("delta") > 0, "cheaper").when(F.col("delta") < 0, "dearer").otherwise("same")
+        .when(F.col("uncertain"), "uncertain").when(F.coalesce("delta", F.lit(0)) > 0, "cheaper").otherwise("dearer")
     )
 
 

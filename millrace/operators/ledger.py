@@ -52,16 +52,21 @@ def curve_lists(curve: DataFrame) -> DataFrame:
     return out.withColumn("change", percent_change(last, first))
 
 
+COUNTERS = ("input_tokens", "output_tokens", "cache_creation", "cache_read")
+
+
 def token_mix(runs: DataFrame, agent: str | None = None) -> DataFrame:
-    counters = ("input_tokens", "output_tokens", "cache_creation", "cache_read")
-    return where(runs, agent=agent).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])
+    """Sums of the four counters over an agent's completed runs of any kind."""
+    return where(runs.filter("completed"), agent=agent).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
 
 
 def tool_cost_rollup(tool_costs: DataFrame, runs: DataFrame, agent: str | None = None, kind: str | None = None, limit: int | None = None) -> DataFrame:
     """Calls and characters by tool over real work, the largest footprint first."""
     work = where(runs.filter(real_work()), agent=agent).select(F.col("id").alias("run_id"))
     sums = [F.sum(c).alias(c) for c in ("calls", "input_chars", "result_chars")]
-    out = where(tool_costs, kind=kind).join(work, "run_id").groupBy("kind", "grp", "label").agg(F.countDistinct("run_id").alias("sessions"), *sums).withColumn("footprint", footprint())
+    # a row a run and class first: the join's shuffle by run serves it, and distinct runs are then mere rows
+    each = where(tool_costs, kind=kind).join(work, "run_id", "left_semi").groupBy("run_id", "kind", "grp", "label").agg(*sums)
+    out = each.groupBy("kind", "grp", "label").agg(F.count(F.lit(1)).alias("sessions"), *sums).withColumn("footprint", footprint())
     return out.orderBy(F.desc("footprint"), "label", "kind", "grp").limit(limit) if limit else out
 
 
@@ -84,8 +89,8 @@ def question_counts(questions: DataFrame) -> DataFrame:
     return questions.agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("approved") == 1).alias("approved"))
 
 
-def run_counts(runs: DataFrame) -> DataFrame:
-    return runs.agg(F.count_if(real_work()).alias("real"), F.count_if(golden()).alias("golden"))
+def run_counts(runs: DataFrame, by_agent: bool = False) -> DataFrame:
+    return (runs.groupBy("agent") if by_agent else runs).agg(F.count_if(real_work()).alias("real"), F.count_if(golden()).alias("golden"))
 
 
 def rule_counts(rules: DataFrame) -> DataFrame:
@@ -94,11 +99,12 @@ def rule_counts(rules: DataFrame) -> DataFrame:
 
 def learning_curve(runs: DataFrame) -> DataFrame:
     day = F.date_format("ts", "yyyy-MM-dd").alias("day")
-    return runs.filter(golden() & F.col("completed")).groupBy("agent", day).agg(F.count(F.lit(1)).alias("runs"), truncated_mean(total_tokens()).alias("avg_tokens"))
+    return runs.filter(replicates()).groupBy("agent", day).agg(F.count(F.lit(1)).alias("runs"), truncated_mean(total_tokens()).alias("avg_tokens"))
 
 
 def last_measurement(runs: DataFrame) -> DataFrame:
-    return runs.filter(F.col("config").isin("active", "candidate", "audit")).groupBy("agent").agg(F.max("ts").alias("last_ts"))
+    """One row: when anything was last measured, for whichever agent."""
+    return runs.filter(F.col("config").isin("active", "candidate", "audit")).agg(F.max("ts").alias("last_ts"))
 
 
 def recent_tokens(runs: DataFrame, now: Column, days: int = 7) -> DataFrame:
@@ -110,7 +116,8 @@ def totals_by_version(runs: DataFrame, agent: str | None = None, project: str |
 
 
 def golden_totals(runs: DataFrame) -> DataFrame:
-    return runs.filter(golden() & F.col("completed")).select("agent", F.col("task_hash").alias("task"), total_tokens().alias("total"), "ts", "id")
+    """Totals of the active set's completed golden runs; passes with other rules would look like noise."""
+    return runs.filter(replicates()).select("agent", F.col("task_hash").alias("task"), total_tokens().alias("total"), "ts", "id")
 
 
 def golden_replicates(runs: DataFrame) -> DataFrame:
@@ -129,17 +136,18 @@ def latest_receipts(receipts: DataFrame, rules: DataFrame, order: str = "decided
 
 
 def baselines(runs: DataFrame) -> DataFrame:
-    """The first run's total, frozen, and the best since, per agent and task."""
-    done = runs.filter(golden() & F.col("completed")).withColumn("total", total_tokens())
+    """The first run's total, frozen, and the best since, per agent and task; runs of the active set alone count."""
+    done = runs.filter(replicates()).withColumn("total", total_tokens())
     return done.groupBy("agent", "task_hash").agg(F.min_by("total", F.struct("ts", "id")).alias("run1_tokens"), F.min("total").alias("best_tokens"), F.max("ts").alias("updated_at"))
 
 
 def suite_comparison(runs: DataFrame) -> DataFrame:
     """Each baseline against the latest completed golden run of its task, or against itself where there is none."""
-    done = runs.filter(golden() & F.col("completed") & (F.col("config") == "active"))
+    done = runs.filter(replicates())
     now = latest(done, ["agent", "task_hash"], [F.col("ts").desc(), F.col("id").desc()]).select("agent", "task_hash", total_tokens().alias("now"))
     joined = baselines(runs).join(now, ["agent", "task_hash"], "left").withColumn("latest_tokens", F.coalesce("now", "run1_tokens"))
-    return joined.groupBy("agent").agg(F.sum("run1_tokens").alias("baseline_tokens"), F.sum("latest_tokens").alias("latest_tokens"), F.count(F.lit(1)).alias("tasks")).withColumn("change", percent_change("latest_tokens", "baseline_tokens"))
+    sums = [F.sum(c).alias(n) for c, n in (("run1_tokens", "baseline_tokens"), ("latest_tokens", "latest_tokens"), ("best_tokens", "best_tokens"))]
+    return joined.groupBy("agent").agg(*sums, F.count(F.lit(1)).alias("tasks")).withColumn("change", percent_change("latest_tokens", "baseline_tokens"))
 
 
 def active_rules(rules: DataFrame) -> DataFrame:
@@ -200,6 +208,32 @@ def ruleset_versions(compiles: DataFrame) -> DataFrame:
     return compiles.groupBy("agent").agg(F.count(F.lit(1)).cast("int").alias("version"), F.max("ts").alias("updated_at"))
 
 
+def version_of(versions: DataFrame, agents: DataFrame) -> DataFrame:
+    """agent, version for the agents asked for; 0 where nothing was compiled yet."""
+    return agents.select("agent").distinct().join(versions.select("agent", "version"), "agent", "left").select("agent", F.coalesce("version", F.lit(0)).alias("version"))
+
+
+#: Fixed: what is stored on a rule that a person vouches for.
+AUTHORED = "authored: protected behavioral rule (not token-gated)"
+
+
+def inserted_rules(rules: DataFrame, new: DataFrame, authored: bool = False) -> DataFrame:
+    """``rules`` and, after them, rows for ``new`` (agent, body, context_cost, created_at; source_run, born_digest, replaces, scope where known).
+
+    Ids go on from the largest, in the order of created_at, then agent, then body. A proposed rule is a candidate. An authored one is active, protected and decided
+    when it was made, and names no source; it is exempt from the token gate.
+    """
+    names = rules.columns
+    last = rules.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    w = Window.orderBy("created_at", "agent", "body")
+    # the rows of one insertion are few: proposals of a session or a file
+    rows = new.withColumn("id", (last.scalar() + F.row_number().over(w)).cast("long")).withColumn("status", F.lit("active" if authored else "candidate"))
+    if authored:
+        rows = rows.drop("source_run", "born_digest", "replaces").withColumns({"decided_at": F.col("created_at"), "decided_reason": F.lit(AUTHORED)})
+    rows = rows.withColumns({"protected": F.lit(authored), "probation": F.lit(False)})
+    return rules.unionByName(rows.select(*[c for c in names if c in rows.columns]), allowMissingColumns=True)
+
+
 def rule_states(events: DataFrame) -> DataFrame:
     """State of each rule after its transitions (rule_id, seq, action, value): decide, scope, probation, protect, unprotect.
 

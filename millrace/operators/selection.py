@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import DEFAULT_SESSIONS, half_up, verdict, verdict_reason
 from millrace.operators.inference import C, T, assess, pass_guard, per_task, retention_rounds, side_totals, summarize_tasks, top_up
+from millrace.sources.registry import settled
 
 AUDIT, CANDIDATE = "re-audit", "candidate"
 
@@ -54,11 +55,11 @@ def measured(runs: DataFrame, reserve: DataFrame, kinds: DataFrame, z: float = 2
     round where no variance is known. Audits whose noise reaches into the banked margin may take ``most_rounds`` further rounds on both sides.
     """
     # each round builds on what the one before measured, so its plan ends there
-    runs, kinds = runs.checkpoint(), kinds.checkpoint()
-    state = assess(runs, z, sessions).checkpoint()
+    runs, kinds = runs.transform(settled), kinds.transform(settled)
+    state = assess(runs, z, sessions).transform(settled)
     more = state.join(kinds, C, "left")
     extra = retention_rounds(more, "banked", sessions, most_rounds).withColumnRenamed("rounds", "extra")
-    budget = state.select(C).join(kinds, C, "left").join(extra, C).select(C, "measured_side", (F.lit(1) + F.when(F.col("kind") == AUDIT, F.col("extra")).otherwise(0)).alias("budget")).checkpoint()
+    budget = state.select(C).join(kinds, C, "left").join(extra, C).select(C, "measured_side", (F.lit(1) + F.when(F.col("kind") == AUDIT, F.col("extra")).otherwise(0)).alias("budget")).transform(settled)
     taken = state.select(C, F.lit(0).alias("rounds"))
     for k in range(1, most_rounds + 2):
         todo = state.filter("uncertain").select(C).join(budget.filter(F.col("budget") >= k), C)
@@ -75,9 +76,9 @@ def measured(runs: DataFrame, reserve: DataFrame, kinds: DataFrame, z: float = 2
             mine = mine.filter(F.col("known").isNull() | (F.col("nth") <= F.coalesce("add", F.lit(0))))
         if todo.isEmpty():
             break
-        runs = runs.unionByName(mine.select(*runs.columns)).checkpoint()
-        taken = taken.unionByName(todo.select(C, F.lit(k).alias("rounds"))).checkpoint()
-        state = assess(runs, z, sessions).checkpoint()
+        runs = runs.unionByName(mine.select(*runs.columns)).transform(settled)
+        taken = taken.unionByName(todo.select(C, F.lit(k).alias("rounds"))).transform(settled)
+        state = assess(runs, z, sessions).transform(settled)
     rounds = taken.groupBy(C).agg(F.max("rounds").alias("rounds"))
     return state.join(rounds, C), runs
 
@@ -101,9 +102,9 @@ def decide(assessed: DataFrame, kinds: DataFrame, sessions: float = DEFAULT_SESS
     a = a.join(kinds.select(C, "kind"), C)
     base = F.when(F.col("regression"), "evicted").otherwise(verdict("delta", "cost", sessions))
     doubt = F.col("uncertain") & (F.col("kind") == CANDIDATE) & (base == "active")
-    notes = F.array_compact(F.array(F.when(F.col("rounds") > 0, "after top-up"), F.when(F.col("uncertain"), "low confidence")))
+    notes = F.array_compact(F.array(F.when(F.col("rounds") > 0, "after variance top-up"), F.when(F.col("uncertain"), "low confidence: within one SE of flipping")))
     reason = verdict_reason("delta", "cost", "regression", sessions)
-    reason = F.when(doubt, F.concat(F.lit("uncertain"), F.when(F.col("rounds") > 0, " after top-up").otherwise(""), F.lit(": saves "), F.col("delta").cast("string"))).when(
+    reason = F.when(doubt, F.concat(F.lit("uncertain"), F.when(F.col("rounds") > 0, " after top-up").otherwise(""), F.lit(": measured savings ("), F.col("delta").cast("string"), F.lit(") within one standard error of the 2× rent threshold — not confidently earning"))).when(
         F.size(notes) > 0, F.concat(reason, F.lit(" ("), F.array_join(notes, "; "), F.lit(")"))
     ).otherwise(reason)
     return a.select(C, F.when(doubt, "evicted").otherwise(base).alias("status"), reason.alias("reason"))

@@ -2,55 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import ANTONYMS, content_words, directive_lines, is_negated, trigrams, words
+from millrace.sources.registry import settled
+
+
+def gram_classes(items: DataFrame, key: str = "id", text: str = "body") -> DataFrame:
+    """key, rep: the smallest key among the items with the same set of trigrams. Any number of copies costs one row a partition."""
+    named = items.select(F.col(key).alias("k"), gram_key(trigrams(text)).alias("c"))
+    return named.join(named.groupBy("c").agg(F.min("k").alias("rep")), "c").select(F.col("k").alias(key), "rep")
+
+
+def gram_key(grams: Column) -> Column:
+    # trigrams hold letters, digits and blanks only
+    return F.sha2(F.array_join(F.array_sort(grams), "|"), 256)
 
 
 def similar_pairs(items: DataFrame, threshold: float, key: str = "id", text: str = "body") -> DataFrame:
-    """a, b (a < b), similarity of all pairs whose Jaccard over trigrams exceeds ``threshold``; exact.
+    """a, b (a < b), similarity of all pairs of representatives (``gram_classes``) whose Jaccard over trigrams exceeds ``threshold``; exact.
 
-    Grams are ordered rarest first and an item is listed under the first |A| - ceil(t|A|) + 1 only: two similar items share one of
-    those. Pairs whose sizes can't reach the threshold aren't compared; survivors are compared in full.
+    Grams are ordered rarest first and an item is listed under the first |A| - ceil(t|A|) + 1 only: two similar items share one of those. Pairs whose sizes, or the
+    places of the gram in both, leave too few grams to share aren't compared; survivors are compared in full.
     """
-    sets = items.select(F.col(key).alias("k"), trigrams(text).alias("g")).withColumn("n", F.size("g"))
+    all_ = items.select(F.col(key).alias("k"), trigrams(text).alias("g"))
+    sets = all_.groupBy(gram_key(F.col("g")).alias("c")).agg(F.min("k").alias("k"), F.any_value("g").alias("g")).select("k", "g", F.size("g").alias("n"))
     grams = sets.select("k", "n", F.explode("g").alias("t"))
     freq = grams.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     order = Window.partitionBy("k").orderBy("f", "t")
-    listed = grams.join(freq, "t").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("k", "n", "t")
-    a, b = listed.select(F.col("k").alias("a"), F.col("n").alias("na"), "t"), listed.select(F.col("k").alias("b"), F.col("n").alias("nb"), "t")
-    near = (F.col("a") < F.col("b")) & (F.col("nb") >= threshold * F.col("na")) & (F.col("na") >= threshold * F.col("nb"))
+    listed = grams.join(freq, "t").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("k", "n", "t", "r")
+    a, b = (listed.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), "t") for x in "ab")
+    # of the pair's shared grams the first in order passes if the pair is similar
+    left = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    near = (F.col("a") < F.col("b")) & (left * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6)
     pairs = a.join(b, "t").filter(near).select("a", "b").distinct()
     full = pairs.join(sets.select(F.col("k").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("k").alias("b"), F.col("g").alias("gb")), "b")
-    sim = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
-    return full.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") > threshold)
+    both = F.size(F.array_intersect("ga", "gb"))
+    return full.select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("similarity")).filter(F.col("similarity") > threshold)
+
+
+def similar_classes(items: DataFrame, threshold: float, key: str = "id", text: str = "body") -> DataFrame:
+    """key, rep, links: each item's representative, and how many other representatives that one resembles."""
+    pairs = similar_pairs(items, threshold, key, text)
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return gram_classes(items, key, text).join(ends, "rep", "left").select(key, "rep", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def greedy_dedup(items: DataFrame, threshold: float, key: str = "id", text: str = "body", order: str = "id") -> DataFrame:
     """Items kept in ``order`` when they resemble no item kept before: ids with kept and the kept item that stands for them.
 
-    Exact duplicates of a text are folded first. An item is settled once all similar items before it are settled: kept if none of them
-    is kept. Rounds go on until all are settled, with a checkpoint each.
+    Items with the same trigrams are folded first. One is settled once all similar ones before it are settled: kept if none of them
+    is kept. Rounds go on until all are settled, each from a written table.
     """
-    base = items.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("x"))
-    lead = base.withColumn("lead", F.first("k").over(Window.partitionBy("x").orderBy("o", "k")))
+    base = items.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("x"), gram_key(trigrams(text)).alias("c"))
+    first = base.groupBy("c").agg(F.min_by("k", F.struct("o", "k")).alias("lead"))
+    lead = base.select("k", "o", "x", "c").join(first, "c").select("k", "o", "x", "lead")
     ones = lead.filter("k = lead")
     pairs = similar_pairs(ones, threshold, "k", "x")
     at = ones.select("k", F.struct("o", "k").alias("p"))
     e = pairs.join(at.select(F.col("k").alias("a"), F.col("p").alias("pa")), "a").join(at.select(F.col("k").alias("b"), F.col("p").alias("pb")), "b")
     first = F.col("pa") < F.col("pb")
-    edges = e.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")).checkpoint()
-    state = ones.select("k", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(ones.schema["k"].dataType).alias("by")).checkpoint()
-    while True:
+    edges = e.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")).transform(settled)
+    # who resembles nobody is kept; only the others go through rounds
+    alone = ones.select("k").join(edges.select(F.col("u").alias("k")).union(edges.select(F.col("v").alias("k"))).distinct(), "k", "left_anti")
+    kind = ones.schema["k"].dataType
+    tied = ones.select("k").join(alone, "k", "left_anti")
+    state = tied.select("k", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(kind).alias("by")).transform(settled)
+    while not state.filter("kept IS NULL").isEmpty():
         seen = edges.join(state.select(F.col("k").alias("u"), F.col("kept").alias("ku")), "u").groupBy("v").agg(
             F.bool_or(F.coalesce("ku", F.lit(False))).alias("hit"), F.bool_and(F.col("ku").isNotNull()).alias("done"), F.min(F.when(F.col("ku"), F.col("u"))).alias("u")
         )
         j = state.join(seen.withColumnRenamed("v", "k"), "k", "left")
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("done", F.lit(True)), True)
-        state = j.select("k", new.alias("kept"), F.coalesce("by", "u").alias("by")).checkpoint()
-        if state.filter("kept IS NULL").isEmpty():
-            break
+        state = j.select("k", new.alias("kept"), F.coalesce("by", "u").alias("by")).transform(settled)
+    state = state.unionByName(alone.select("k", F.lit(True).alias("kept"), F.lit(None).cast(kind).alias("by")))
     told = lead.join(state.withColumnRenamed("k", "s"), F.col("lead") == F.col("s"))
     return told.select(F.col("k").alias(key), (F.col("kept") & (F.col("k") == F.col("lead"))).alias("kept"), F.when(F.col("kept"), F.col("lead")).otherwise(F.col("by")).alias("stands_for"))
 
@@ -60,25 +86,38 @@ def plan_import(incoming: DataFrame, active: DataFrame, threshold: float = 0.85)
     both = active.select(F.lit(0).alias("o"), (-F.col("id") - 1).alias("id"), "body").unionByName(incoming.select(F.lit(1).alias("o"), "id", "body"))
     ranked = both.withColumn("rank", F.struct("o", "id"))
     # active rules stand whatever resembles them
-    pairs = similar_pairs(both, threshold)
-    hit = pairs.filter("a < 0 AND b >= 0").select(F.col("b").alias("id")).distinct()
+    pairs, named = similar_pairs(both, threshold), gram_classes(both)
+    like = pairs.filter("a < 0").select("b").union(named.filter("rep < 0").select("rep")).distinct().withColumnRenamed("b", "rep")
+    hit = named.filter("id >= 0").join(like, "rep", "left_semi").select("id")
     left = ranked.filter("o = 1").join(hit, "id", "left_anti").drop("o", "rank")
     kept = greedy_dedup(left, threshold).select("id", "kept")
     return incoming.join(hit.withColumn("old", F.lit(True)), "id", "left").join(kept, "id", "left").select(*incoming.columns, F.when(F.col("old"), "duplicate").when(F.col("kept"), "add").otherwise("duplicate").alias("action"))
 
 
-def contradictions(rules: DataFrame, documents: DataFrame, most_rules: int = 10_000) -> DataFrame:
-    """For each rule (id, body) the first line of the documents (doc_id, text) that speaks against it.
+def contradictions(rules: DataFrame, documents: DataFrame) -> DataFrame:
+    """For each rule (id, body) that a line of the documents (doc_id, text) speaks against, the first such line: rule_id, doc_id, line_no, line, reason.
 
-    A line conflicts if it shares two content words at opposite polarity, or one and an antonym. Candidates come from an equi-join on
-    content words, so lines that share none are never paired.
+    A line conflicts if it shares two content words at opposite polarity, or one and an antonym. Rules and lines that hold the same words are one; of equal lines the first
+    counts. Two that share two words share one besides the rule's most frequent word, so that word leads to no candidates there; it does only for the few lines and rules
+    with words that have antonyms. Candidates are compared in full.
     """
+    marks = sorted({w for p in ANTONYMS for w in p})
     antonyms = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ANTONYMS])
-    r = rules.select(F.col("id").alias("rule_id"), F.col("body").alias("rule_body"), content_words("body").alias("rc"), is_negated("body").alias("rn"), words("body").alias("rw"))
-    lines = documents.select("doc_id", F.posexplode(directive_lines("text")).alias("line_no", "line")).withColumns({"lc": content_words("line"), "ln": is_negated("line"), "lw": words("line")})
-    shared = r.select("rule_id", F.explode("rc").alias("w")).join(lines.select("doc_id", "line_no", F.explode("lc").alias("w")), "w").groupBy("rule_id", "doc_id", "line_no").agg(F.count(F.lit(1)).alias("shared"))
-    j = shared.join(r, "rule_id").join(lines, ["doc_id", "line_no"])
-    pair = F.get(F.filter(antonyms, lambda p: (F.array_contains("rw", p[0]) & F.array_contains("lw", p[1])) | (F.array_contains("rw", p[1]) & F.array_contains("lw", p[0]))), 0)
-    reason = F.when((F.col("shared") >= 2) & (F.col("rn") != F.col("ln")), F.concat(F.lit("opposite polarity, shared terms: "), F.col("shared").cast("string"))).when(pair.isNotNull(), F.concat(F.lit("antonyms: "), F.array_join(pair, "/")))
-    found = j.withColumn("reason", reason).filter("reason IS NOT NULL")
-    return found.groupBy("rule_id").agg(F.min_by(F.struct("doc_id", "line_no", "line", "reason"), F.struct("doc_id", "line_no")).alias("f")).select("rule_id", "f.*")
+    parts = lambda t: (F.array_sort(content_words(t)).alias("c"), is_negated(t).alias("n"), F.array_sort(F.array_distinct(F.filter(words(t), lambda w: w.isin(*marks)))).alias("m"))
+    key = F.sha2(F.concat_ws("|", F.array_join("c", " "), F.col("n").cast("string"), F.array_join("m", " ")), 256)
+    told = rules.select(F.col("id").alias("rule_id"), *parts("body")).withColumn("rule", key)
+    r = told.groupBy("rule").agg(*[F.any_value(x).alias(f"r{x}") for x in "cnm"]).filter(F.size("rc") > 0)
+    said = documents.select("doc_id", F.posexplode(directive_lines("text")).alias("line_no", "line")).select(F.struct("doc_id", "line_no", "line").alias("at"), *parts("line")).filter(F.size("c") > 0)
+    said = said.groupBy(key.alias("text")).agg(F.min("at").alias("at"), *[F.any_value(x).alias(f"l{x}") for x in "cnm"])
+    asked = r.select("rule", "rn", F.size("rc").alias("size"), F.size("rm").alias("rm"), F.explode("rc").alias("w"))
+    posted = said.select("text", "ln", F.size("lm").alias("lm"), F.explode("lc").alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    freq = posted.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    ranked = asked.join(freq, "w").withColumn("nth", F.row_number().over(Window.partitionBy("rule").orderBy(F.desc("f"), "w")))
+    both = ranked.join(posted, "w").filter(((F.col("nth") > 1) & (F.col("rn") != F.col("ln"))) | ((F.col("rm") > 0) & (F.col("lm") > 0))).select("rule", "text").distinct()
+    j = both.join(r, "rule").join(said, "text").withColumn("shared", F.size(F.array_intersect("rc", "lc")))
+    pair = F.get(F.filter(antonyms, lambda p: (F.array_contains("rm", p[0]) & F.array_contains("lm", p[1])) | (F.array_contains("rm", p[1]) & F.array_contains("lm", p[0]))), 0)
+    reason = F.when((F.col("shared") >= 2) & (F.col("rn") != F.col("ln")), F.concat(F.lit("shares "), F.col("shared").cast("string"), F.lit(" key terms with an opposite-polarity directive"))).when(
+        pair.isNotNull(), F.concat(F.lit('uses "'), F.array_join(pair, '"/"'), F.lit('" against a shared-topic directive'))
+    )
+    found = j.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("rule").agg(F.min_by(F.struct("at.*", "reason"), "at").alias("f"))
+    return told.join(found, "rule").select("rule_id", "f.*")

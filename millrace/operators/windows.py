@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import array_median, environment_failure, nearest_rank, total_tokens
+from millrace.functions.text import valid_agent_name
 from millrace.schemas import real_work
 
 
@@ -56,8 +57,8 @@ def two_strikes(audits: DataFrame, keys: list[str], order: str, seed: str | None
 
 
 def auto_select(pending: DataFrame, last: DataFrame, now: Column, enabled: bool = True, hours: int = 24) -> DataFrame:
-    """Which agents may be measured: pending rules, and no measurement within ``hours``."""
-    joined = pending.join(last, "agent", "left")
+    """Which agents may be measured: pending rules, and no measurement of any agent within ``hours``; ``last`` is the one row of ``last_measurement``."""
+    joined = pending.withColumn("last_ts", last.select("last_ts").scalar())
     cool = F.col("last_ts").isNotNull() & (F.col("last_ts") > now - F.make_interval(hours=F.lit(hours)))
     reason = F.when(F.lit(not enabled), "disabled").when(F.col("pending") == 0, "nothing pending").when(cool, "cooling down").otherwise("due")
     return joined.select("agent", "pending", reason.alias("reason"), (reason == "due").alias("due"))
@@ -65,3 +66,12 @@ def auto_select(pending: DataFrame, last: DataFrame, now: Column, enabled: bool
 
 def resolve_agent(name: str, known: list[str]) -> Column:
     return F.when(F.col(name).isin(*known), F.col(name)).otherwise("main")
+
+
+def known_agents(bundled: DataFrame, files: DataFrame) -> DataFrame:
+    """name, pos: the bundled agents (name, pos) in their order, then valid names of definition files (file: base name) in order; a bundled name wins."""
+    own = files.filter(F.col("file").endswith(".md")).select(F.expr("left(file, length(file) - 3)").alias("name")).distinct()
+    own = own.filter(valid_agent_name("name")).join(bundled.select("name"), "name", "left_anti")
+    after = bundled.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("m"))
+    # a registry: as many rows as there are definition files
+    return bundled.select("name", F.col("pos").cast("long").alias("pos")).unionByName(own.select("name", (after.scalar() + F.row_number().over(Window.orderBy("name"))).cast("long").alias("pos")))

@@ -31,14 +31,14 @@ SELECT c_custkey AS id, 'agent' || CAST(c_nationkey % 5 AS VARCHAR(20)) AS agent
   CASE WHEN c_custkey % 7 <> 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS measured_delta, c_custkey % 40 + 10 AS context_cost,
   CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 2 END AS source_run,
   CASE WHEN c_custkey % 3 <> 0 THEN 1700000000 + (c_custkey * 7919) % 20000000 END AS decided_s, 1690000000 + (c_custkey * 104729) % 9000000 AS created_s,
-  c_custkey % 13 = 0 AS protected, c_custkey % 17 = 0 AS probation
+  c_custkey % 13 = 0 AS protected, c_custkey % 17 = 0 AS probation, CASE WHEN c_custkey % 6 = 1 THEN 'sql  only' WHEN c_custkey % 6 = 4 THEN '' END AS scope
 FROM customer
 """
 RECEIPTS = """
 SELECT o_custkey AS rule_id, 'agent' || CAST(o_custkey % 5 AS VARCHAR(20)) AS agent, o_orderkey AS decided_no,
   CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'P' THEN 'evicted' ELSE 'active' END AS status,
   CASE WHEN o_orderkey % 9 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) - 150000 END AS delta, o_orderkey % 50 + 10 AS context_cost, o_orderkey % 4 + 1 AS runs,
-  o_orderkey % 20 = 0 AS regression, CAST(floor(o_totalprice / 3) AS BIGINT) AS with_tokens, CAST(floor(o_totalprice / 2) AS BIGINT) AS without_tokens
+  o_orderkey % 20 = 0 AS regression, CASE o_orderkey % 4 WHEN 1 THEN 'opus' WHEN 2 THEN 'sonnet' WHEN 3 THEN 'haiku' END AS model, CAST(floor(o_totalprice / 3) AS BIGINT) AS with_tokens, CAST(floor(o_totalprice / 2) AS BIGINT) AS without_tokens
 FROM orders
 """
 MEASURES = """
@@ -46,7 +46,22 @@ SELECT agent AS comparison_id, CASE WHEN id % 2 = 0 THEN 'without' ELSE 'with' E
   completed, CASE WHEN task_hash IN ('t1', 't4') THEN 4.0E0 ELSE 1.0E0 END AS weight, 25 AS context_cost
 FROM runs WHERE task_hash IS NOT NULL
 """
-VIEWS = {"runs": RUNS, "tool_costs": TOOL_COSTS, "rules": RULES, "receipts": RECEIPTS, "measures": MEASURES}
+STAFF = """
+SELECT id, 'agent' || CAST(id % 5 AS VARCHAR(20)) AS agent, session_id, task_hash, input_tokens, output_tokens, cache_creation, cache_read, completed, ruleset_version, ts, config, project, model
+FROM runs
+"""
+PAPERS = """
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN '# Paper ' || CAST(doc_id AS VARCHAR(20)) || chr(10) || text || chr(10) || '## Notes' || chr(10) || '- Always keep the ' ||
+  CASE doc_id % 4 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' WHEN 2 THEN 'household' ELSE 'farm' END || ' rule. Use partial files.' || chr(10) ||
+  'Item ' || CAST(doc_id % 9 AS VARCHAR(20)) || '. Terms' || chr(10) || 'Total ' || CAST(doc_id AS VARCHAR(20)) || '.5' || chr(10) || 'LAST WORDS' || chr(10) || 'end' END AS text
+FROM documents
+"""
+PROMPTS = """
+SELECT CAST(conv_id AS VARCHAR(20)) || '-' || CAST(turn AS VARCHAR(20)) || c AS id, conv_id, turn, CASE c WHEN 'b' THEN text || ' again' WHEN 'd' THEN text || ' !' ELSE text END AS body
+FROM conversations, (SELECT 'a' AS c UNION ALL SELECT 'b' AS c UNION ALL SELECT 'd' AS c) k WHERE role = 'user' AND (c = 'a' OR c = 'b' AND turn % 7 = 1 OR c = 'd' AND turn % 5 = 2)
+"""
+VIEWS = {"runs": RUNS, "staff": STAFF, "tool_costs": TOOL_COSTS, "rules": RULES, "receipts": RECEIPTS, "measures": MEASURES, "papers": PAPERS, "prompts": PROMPTS}
+SOURCES = {"runs": "events", "staff": "runs", "measures": "runs", "tool_costs": "lineitem", "rules": "customer", "receipts": "orders", "papers": "documents", "prompts": "conversations"}
 SPARK_K, DUCK_K = "CAST(get_json_object(props, '$.k') AS BIGINT)", "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 BASE = ("events", "orders", "lineitem", "customer", "documents", "pages", "benchmark", "conversations", "labels")
 
@@ -54,12 +69,11 @@ BASE = ("events", "orders", "lineitem", "customer", "documents", "pages", "bench
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     """The named driver tables and derived tables. Nothing is read until it is used."""
     out: dict[str, DataFrame] = {}
-    sources = {"runs": "events", "measures": "runs", "tool_costs": "lineitem", "rules": "customer", "receipts": "orders"}
 
     def get(name: str) -> DataFrame:
         if name not in out:
             if name in VIEWS:
-                out[name] = spark.sql(VIEWS[name].format(k=SPARK_K).replace(f"FROM {sources[name]}", "FROM {source}"), source=get(sources[name]))
+                out[name] = spark.sql(VIEWS[name].format(k=SPARK_K).replace(f"FROM {SOURCES[name]}", "FROM {source}"), source=get(SOURCES[name]))
             else:
                 out[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return out[name]
@@ -71,7 +85,10 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 def oracle(query: str, *names: str) -> str:
     """DuckDB SQL of ``query`` after the derived tables it names; a query that begins with WITH adds its own."""
-    wanted = [n for n in VIEWS if n in names or n == "runs" and "measures" in names]
+    wanted = [n for n in VIEWS if n in names or n == "runs" and ("measures" in names or "staff" in names)]
     head = ", ".join(f"{n} AS ({VIEWS[n].format(k=DUCK_K).strip()})" for n in wanted)
     q = query.strip()
-    return f"WITH {head}, {q[5:]}" if q.startswith("WITH ") and head else f"WITH {head} {q}" if head else q
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if q.startswith(start) and head:
+            return f"{start}{head}, {q[len(start):]}"
+    return f"WITH {head} {q}" if head else q

@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import display_text
 
-MARKER = "<!-- rules:data -->"
+TOOL = "millrace"
+MARKER = f"<!-- {TOOL}:ledger — machine-readable; do not hand-edit the block below -->"
 SHARED = "agent string, exportedAt string, rules array<struct<body:string,measuredDelta:long,contextCost:long,sourceRun:long,createdAt:string>>"
 MOST_CHARS = 1_000_000
 
 
-def compiled_memory(rules: DataFrame) -> DataFrame:
-    """agent and the text of its active rules, the largest saving first; control and invisible characters are gone."""
-    active = rules.filter("status = 'active'").select("agent", "id", F.coalesce("measured_delta", F.lit(-(1 << 62))).alias("d"), display_text("body").alias("body"))
-    listed = F.sort_array(F.collect_list(F.struct((-F.col("d")).alias("d"), "id", "body")))
-    return active.groupBy("agent").agg(F.concat(F.lit("# Rules\n\n"), F.array_join(F.transform(listed, lambda r: F.concat(F.lit("- "), r["body"])), "\n"), F.lit("\n")).alias("content"))
+def compiled_memory(rules: DataFrame, tool: str = TOOL) -> DataFrame:
+    """agent and the file of its active rules, the largest saving first, each on a line, after "(when <scope>)" where it has one.
+
+    Bodies (400 characters at most) and scopes (200) lose control and invisible characters, line breaks included, so none can pass for a rule of its own. An agent without
+    active rules has a file without lines.
+    """
+    scope = F.col("scope") if "scope" in rules.columns else F.lit(None).cast("string")
+    line = F.concat(F.lit("- "), F.when(F.coalesce(scope, F.lit("")) != "", F.concat(F.lit("(when "), display_text(scope, 200), F.lit(") "))).otherwise(""), display_text("body", 400))
+    rank = F.struct((-F.coalesce("measured_delta", F.lit(-(1 << 62)))).alias("d"), "id", line.alias("line"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("status") == "active", rank)))
+    body = F.array_join(F.concat(F.transform(listed, lambda r: r["line"]), F.array(F.lit(""))), "\n")
+    return rules.groupBy("agent").agg(F.concat(F.lit(f"<!-- GENERATED BY {tool} — do not hand-edit -->\n# Efficiency rules\n\n"), body).alias("content"))
 
 
 def drifted(rules: DataFrame, stored: DataFrame) -> DataFrame:
@@ -26,12 +34,19 @@ def drifted(rules: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def shared_files(rules: DataFrame, exported_at: str) -> DataFrame:
-    """agent and the text of its shared file: the rules as a list, then a marker and the same as JSON."""
+    """agent and the text of its shared file: how many active rules there are, a line a rule with what it saves and costs, then a marker and the same as JSON.
+
+    Rules go by their saving, the largest first, unmeasured ones last. An agent without active rules has a file that says so.
+    """
     r = F.struct(F.col("body"), F.col("measured_delta").alias("measuredDelta"), F.col("context_cost").alias("contextCost"), F.col("source_run").alias("sourceRun"), F.col("created_at").cast("string").alias("createdAt"))
-    g = rules.filter("status = 'active'").groupBy("agent").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", r.alias("r")))), lambda x: x["r"]).alias("rules"))
-    data = F.to_json(F.struct("agent", F.lit(exported_at).alias("exportedAt"), "rules"))
-    prose = F.array_join(F.transform("rules", lambda x: F.concat(F.lit("- "), x["body"])), "\n")
-    return g.select("agent", F.concat(F.lit("# Rules of "), "agent", F.lit("\n\n"), prose, F.lit(f"\n\n{MARKER}\n```json\n"), data, F.lit("\n```\n")).alias("content"))
+    rank = F.struct((-F.coalesce("measured_delta", F.lit(-(1 << 62)))).alias("d"), "id", r.alias("r"))
+    g = rules.groupBy("agent").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == "active", rank))), lambda x: x["r"]).alias("rules"))
+    data = F.to_json(F.struct("agent", F.lit(exported_at).alias("exportedAt"), "rules"), {"ignoreNullFields": "false"})
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    line = lambda x: said("- **", F.coalesce(said("+", x["measuredDelta"]), F.lit("n/a")), " tokens/run** (rent ", x["contextCost"], "): ", x["body"], "\n")
+    head = said(f"# {TOOL} rules — ", F.col("agent"), "\n\n", F.size("rules"), f" active rule(s), each kept because it measurably earned at least 2× its context rent on the golden suite. Exported {exported_at}.\n\n")
+    prose = F.when(F.size("rules") == 0, "_No active rules yet._\n").otherwise(F.array_join(F.transform("rules", line), ""))
+    return g.select("agent", F.concat(head, prose, F.lit(f"\n{MARKER}\n```json\n"), data, F.lit("\n```\n")).alias("content"))
 
 
 def parsed_file(content: str | Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.schemas import TABLES, empty, migrated
@@ -32,7 +35,7 @@ def open_ledger(spark: SparkSession, path: str, register: bool = True) -> dict[s
 
 
 def save_table(df: DataFrame, path: str, name: str) -> None:
-    """Writes a table next to the old one and swaps folders, so readers see either."""
+    """Writes a table next to the old one, then swaps folders by renaming. A reader that comes between the two renames finds no table; none sees half of one."""
     spark = df.sparkSession
     at, new, old = (f"{path.rstrip('/')}/{name}{x}" for x in ("", ".new", ".old"))
     migrated(df, name).write.mode("overwrite").parquet(new)
@@ -43,3 +46,23 @@ def save_table(df: DataFrame, path: str, name: str) -> None:
         fs.rename(jvm.Path(at), jvm.Path(old))
     fs.rename(jvm.Path(new), jvm.Path(at))
     fs.delete(jvm.Path(old), True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables: spark.checkpoint.dir, or in local mode without one a temporary folder. On a cluster it must be set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="millrace-")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def settled(df: DataFrame, name: str = "state") -> DataFrame:
+    """``df`` written to the shared folder and read again, where several branches of a plan need it: its lineage and the plans that build on it end there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -61,7 +61,20 @@ def test_nearest_rank_and_median(spark):
 def test_classify_tool(spark):
     df = spark.createDataFrame([("Skill", "pdf"), ("Skill", None), ("mcp__a__b__c", None), ("mcp__a", None), ("Read", None), ("", None)], "n string, s string")
     got = [tuple(r.c) for r in df.select(S.classify_tool("n", "s").alias("c")).collect()]
-    assert got == [("skill", "pdf", "pdf"), ("skill", "(unknown)", "(unknown)"), ("mcp", "a", "b__c"), ("mcp", "a", "(unknown)"), ("builtin", "builtin", "Read"), ("builtin", "builtin", "(unknown)")]
+    assert got == [("skill", "(skills)", "pdf"), ("skill", "(skills)", "(unknown)"), ("mcp", "a", "b__c"), ("mcp", "a", "(unknown)"), ("builtin", "(builtin)", "Read"), ("builtin", "(builtin)", "")]
+
+
+def test_verdict_reasons(spark):
+    df = spark.createDataFrame([(None, 10, False), (0, 10, False), (21, 10, False), (22, 10, False), (99, 10, True)], "d long, c long, r boolean")
+    assert [r.x for r in df.select(S.verdict_reason("d", "c", "r").alias("x")).collect()] == [
+        "no comparable completed runs", "non-positive delta (0)", "sub-threshold: savings 21 < 2× cache-aware rent (22)", "savings 22 ≥ 2× cache-aware rent (22)", "regression: a previously passing golden task failed"
+    ]
+
+
+def test_report_formats(spark):
+    df = spark.createDataFrame([(110, 100), (95, 100), (100, 100), (0, 100), (5, 0)], "c long, b long")
+    assert [r.x for r in df.select(S.percent_of("c", "b").alias("x")).collect()] == ["+10.0%", "-5.0%", "+0.0%", "n/a", "n/a"]
+    assert column(spark, [12_345, 0], "long", S.duration) == ["12.3s", "0.0s"]
 
 
 def test_prices(spark):
@@ -108,11 +121,12 @@ def test_redact(spark):
 def test_contradiction_words(spark):
     assert column(spark, ["Never use the Full suite, don't!"], "string", X.content_words) == [["full", "suite"]]
     assert column(spark, ["never run", "run it", None], "string", X.is_negated) == [True, False, None]
-    assert column(spark, ["- a one. B two!\n\n2) c"], "string", X.directive_lines) == [["a one.", "B two!", "c"]]
+    assert column(spark, ["- a one. B two!\n\n2) c\r\n> # -- d", "# 1. "], "string", X.directive_lines) == [["a one.", "B two!", "c", "d"], []]
 
 
 def test_values(spark):
-    cases = [(1204.5, "was $1,204.5 then", True), (20.4, "120.45", False), (-500.0, "(500) loss", True), (-500.0, "500 loss", False), (500.0, "(500)", True), (1.2, "1.20 up", True), (1_500_000.0, "1.5 million", True), (0.0, "is 0 now", True), (0.0, "10", False), (7.0, None, False)]
+    cases = [(1204.5, "was $1,204.5 then", True), (20.4, "120.45", False), (-500.0, "(500) loss", True), (-500.0, "500 loss", False), (500.0, "(500)", True), (1.2, "1.20 up", True), (1_500_000.0, "1.5 million", True), (0.0, "is 0 now", True), (0.0, "10", False), (7.0, None, False), (5.0, "5.03", True), (1204.5, "1.20 bn in 1.205", True), (1204.5, "v1.204.5", True), (1204.5, "0.1204.5", False), (0.25, "0.25", True), (0.25, ".25", False), (2.5, "3", True),
+             (2500.0, "2.500", True), (-1.5, "-1.5 and", True), (-1.5, "1.5 - 1.50", True), (1e6, "1000000", True), (1e6, "1,000,000.0", True), (3.0, "v3.", True)]
     df = spark.createDataFrame([(i, v, t) for i, (v, t, _) in enumerate(cases)], "i int, v double, t string")
     assert [r.x for r in df.select("i", X.value_appears_in("v", "t").alias("x")).orderBy("i").collect()] == [c[2] for c in cases]
 

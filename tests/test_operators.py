@@ -1,11 +1,13 @@
 import random
+import re
 from collections import Counter
 from statistics import mean, variance
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import cohort, inference, ledger, resampling, retrieval, similarity, windows
+from millrace.functions import text as X
+from millrace.operators import cohort, cost, inference, ledger, resampling, retrieval, similarity, windows
 from millrace.plans import text_queries
 from millrace.schemas import RUNS, TABLES, empty, migrated
 from millrace.sources import corpus, ledger_files, transcripts
@@ -163,6 +165,101 @@ def test_cohorts(spark):
     assert got == {"a": ("improved", 50.0), "b": ("insufficient-data", None), "c": ("no-change", 0.0)}
 
 
+def test_confirm_and_governance(spark):
+    """What production can say about a promise: nothing to confirm without rules or savings, whatever happened there."""
+    verdicts = ("improved", "regressed", "no-change", "insufficient-data")
+    cohorts = spark.createDataFrame([(f"{v}/{f}", v) for v in verdicts for f in ("none", "zero", "some")], "agent string, verdict string")
+    fixture = spark.createDataFrame([(f"{v}/{f}", 2, s, []) for v in verdicts for f, s in (("zero", 0), ("some", 900))], "agent string, active_rules long, saving long, regressed array<long>")
+    got = {r.agent: r.outcome for r in cohort.confirm(fixture, cohorts).collect()}
+    assert {got[f"{v}/{f}"] for v in verdicts for f in ("none", "zero")} == {"nothing-to-confirm"}
+    assert [got[f"{v}/some"] for v in verdicts] == ["corroborated", "contradicted", "unconfirmed", "unconfirmed"]
+    assert [r.a for r in spark.createDataFrame([(i, v) for i, v in enumerate(verdicts)], "i int, verdict string").orderBy("i").select(cohort.governance().alias("a")).collect()] == ["corroborated", "re-audit", "no-signal", "insufficient-data"]
+
+
+RULE = "id long, agent string, body string, status string, measured_delta long, context_cost long"
+RECEIPT = "rule_id long, agent string, status string, decided_no long, delta long, context_cost long, runs long, with_tokens long, without_tokens long, model string, regression boolean"
+
+
+def test_costs_by_hand(spark):
+    """Two active rules of one agent; the mix is a million of each counter, the price of sonnet 3 and 15 dollars."""
+    rules = spark.createDataFrame([(1, "a", "x", "active", 0, 0), (2, "a", "y", "active", 0, 0), (3, "a", "z", "evicted", 0, 0)], RULE)
+    receipts = spark.createDataFrame([(1, "a", "active", 1, 99, 9, 9, 9, 9, None, False), (1, "a", "active", 2, 1000, 100, 2, 5000, 6000, "sonnet", False), (2, "a", "active", 1, -5, 200, 1, 10, 10, "opus", True), (3, "a", "evicted", 1, 10**6, 1, 1, 1, 1, "opus", False)], RECEIPT)
+    work = [run(1) | dict(input_tokens=10**6, output_tokens=10**6, cache_creation=10**6, cache_read=10**6), run(2) | dict(completed=False, input_tokens=10**9)]
+    got = {r.rule_id: r for r in cost.agent_costs(rules, receipts, runs(spark, work)).collect()}
+    rate = (3 + 15 + 3.75 + 0.3) / 4e6
+    assert set(got) == {1, 2} and got[1].rent == pytest.approx(100 * 3e-6) and got[1].saving == pytest.approx(1000 * rate) and got[1].net == pytest.approx(1000 * rate - 3e-4)
+    assert got[1].discovery == pytest.approx(2 * 11000 * rate) and got[1].break_even == -(-2 * 11000 * rate // (1000 * rate - 3e-4)) and got[1].weekly == pytest.approx(20 * got[1].net)
+    assert got[2].saving == 0 and got[2].rent == pytest.approx(200 * 5e-6) and got[2].break_even is None
+    p = cost.project_agents(cost.agent_costs(rules, receipts, runs(spark, work)), runs(spark, work), weeks=2).first()
+    net, found = got[1].net + got[2].net, got[1].discovery + got[2].discovery
+    assert p.gross_savings == pytest.approx(40 * 1000 * rate) and p.net_benefit == pytest.approx(40 * net - found) and p.baseline == pytest.approx(40 * 4e6 * rate)
+    assert p.with_rules == pytest.approx(p.baseline - 40 * net + found) and p.share_saved == pytest.approx(p.net_benefit / p.baseline)
+    alone = cost.project_agents(cost.agent_costs(rules.limit(0), receipts, runs(spark, work)), runs(spark, work)).first()
+    assert alone.rules == 0 and alone.baseline == pytest.approx(80 * 4e6 * rate) and alone.break_even is None
+    fixture = cohort.fixture_side(receipts, rules).first()
+    assert (fixture.active_rules, fixture.saving, fixture.regressed) == (2, 1000, [2])
+
+
+def test_only_the_active_set_counts(spark):
+    rows = [run(i, total=t, ts=f"2024-01-0{i} 00:00:00") | dict(task_hash="t", config=c) for i, t, c in ((1, 10, "candidate"), (2, 500, "active"), (3, 20, "audit"), (4, 300, "active"), (5, 400, "active"))]
+    df = runs(spark, rows)
+    b = ledger.baselines(df).first()
+    assert (b.run1_tokens, b.best_tokens) == (500, 300)
+    s = ledger.suite_comparison(df).first()
+    assert (s.baseline_tokens, s.latest_tokens, s.best_tokens, s.tasks, s.change) == (500, 400, 300, 1, "-20.0%")
+    assert ledger.learning_curve(df).agg(F.sum("runs")).first()[0] == 3 and ledger.golden_totals(df).count() == 3 and ledger.run_counts(df).first().golden == 5
+    both = df.unionByName(runs(spark, [run(9, agent="b", ts="2024-02-01 00:00:00") | dict(task_hash="t", config="audit")]))
+    assert [str(r.last_ts) for r in ledger.last_measurement(both).collect()] == ["2024-02-01 00:00:00"]
+    m = cost.meta_cost(both.filter("task_hash IS NOT NULL"), both, F.to_timestamp(F.lit("2024-02-02"))).first()
+    assert m.bench == 1330 and m.real == 0 and m.share is None and not m.warn
+
+
+def test_inserted_rules(spark):
+    names = "id long, agent string, body string, status string, context_cost long, created_at string, decided_at string, decided_reason string, protected boolean, probation boolean, source_run long, replaces long"
+    old = spark.createDataFrame([(7, "a", "x", "active", 1, "2024", None, None, False, False, None, None)], names)
+    new = spark.createDataFrame([("a", "later", 2, "2025-02", 9, 7), ("a", "sooner", 2, "2025-01", 9, None)], "agent string, body string, context_cost long, created_at string, source_run long, replaces long")
+    got = {r.id: r for r in ledger.inserted_rules(old, new).collect()}
+    assert [got[i].body for i in (7, 8, 9)] == ["x", "sooner", "later"] and got[9].replaces == 7 and got[8].status == "candidate" and not got[8].protected and got[8].decided_at is None
+    told = {r.body: r for r in ledger.inserted_rules(old.limit(0), new, authored=True).collect()}
+    assert told["sooner"].id == 1 and told["later"].status == "active" and told["later"].protected and told["later"].decided_at == "2025-02" and told["later"].source_run is None and told["later"].replaces is None
+
+
+def test_known_agents(spark):
+    bundled = spark.createDataFrame([("sql", 0), ("api", 1)], "name string, pos int")
+    files = spark.createDataFrame([("zeta.md",), ("sql.md",), ("Bad Name.md",), ("beta.md",), ("notes.txt",)], "file string")
+    assert [r.name for r in windows.known_agents(bundled, files).orderBy("pos").collect()] == ["sql", "api", "beta", "zeta"]
+
+
+def test_hops_read_a_chunk_once(spark):
+    chunks = spark.createDataFrame([(c, 10 * i) for i, c in enumerate("abcd", 1)], "chunk_id string, tokens long")
+    hops = spark.createDataFrame([(1, 1, ["b", "a"]), (1, 2, ["a", "c", "b"]), (1, 3, ["a"]), (2, 1, ["a"])], "question_id int, hop int, chunks array<string>")
+    got = {(r.question_id, r.hop): (r.chunks, r.tokens) for r in retrieval.fresh_hops(hops, chunks).collect()}
+    assert got == {(1, 1): (["b", "a"], 30), (1, 2): (["c"], 30), (1, 3): ([], 0), (2, 1): (["a"], 10)}
+
+
+def test_contradictions_against_loop(spark):
+    rng = random.Random(8)
+    vocabulary = "always never not all none full partial every no run tests files suite read commit the an use cache".split()
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rules = [(i, say(rng.randint(1, 5))) for i in range(40)]
+    docs = [(d, "\n".join(rng.choice(["- ", "# ", "> 1. ", ""]) + say(rng.randint(0, 6)) + rng.choice([".", "", "! " + say(3)]) for _ in range(4))) for d in range(25)]
+    got = {r.rule_id: (r.doc_id, r.line, r.reason) for r in similarity.contradictions(spark.createDataFrame(rules, "id int, body string"), spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+    words = lambda t: [w for w in re.findall(r"[a-z']+", t.lower()) if len(w) > 1]
+    topic = lambda t: {w for w in words(t) if w not in X.STOPWORDS and w not in X.NEGATIONS}
+    neg = lambda t: any(w in X.NEGATIONS for w in words(t))
+    want = {}
+    for i, body in rules:
+        lines = [(d, x) for d, t in docs for x in (re.sub(r"^[\s>#*\-\d.)]+", "", y).strip() for y in re.split(r"\r?\n|(?<=[.!?])\s+", t)) if x]
+        for d, line in lines:
+            n = len(topic(body) & topic(line))
+            clash = [f'uses "{a}"/"{b}" against a shared-topic directive' for a, b in X.ANTONYMS if a in words(body) and b in words(line) or b in words(body) and a in words(line)]
+            why = f"shares {n} key terms with an opposite-polarity directive" if n >= 2 and neg(body) != neg(line) else clash[0] if n and clash else None
+            if why:
+                want[i] = (d, line, why)
+                break
+    assert got == want and len(want) > 10
+
+
 def test_resampling(spark):
     pool = spark.createDataFrame([(f"t{i}", 10 * i + j, 1000 + 17 * j * i) for i in range(3) for j in range(8)], "task_id string, row int, tokens int")
     first = sorted(map(tuple, resampling.permutation_trials(pool, 5).collect()))
@@ -279,9 +376,13 @@ def bodies():
 
 
 def test_similar_pairs(spark, bodies):
-    got = {(r.a, r.b): r.similarity for r in similarity.similar_pairs(spark.createDataFrame(bodies, "id int, body string"), 0.6).collect()}
-    want = {(i, j): jaccard(x, y) for i, x in bodies for j, y in bodies if i < j and jaccard(x, y) > 0.6}
+    df = spark.createDataFrame(bodies, "id int, body string")
+    rep = {i: min(j for j, y in bodies if grams(x) == grams(y)) for i, x in bodies}
+    got = {(r.a, r.b): r.similarity for r in similarity.similar_pairs(df, 0.6).collect()}
+    want = {(i, j): jaccard(x, y) for i, x in bodies for j, y in bodies if i < j and i == rep[i] and j == rep[j] and jaccard(x, y) > 0.6}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 20
+    classes = {r.id: (r.rep, r.links) for r in similarity.similar_classes(df, 0.6).collect()}
+    assert classes == {i: (rep[i], sum(rep[i] in p for p in want)) for i, _ in bodies} and any(rep[i] != i for i in rep)
 
 
 def test_greedy_dedup(spark, bodies):
@@ -300,11 +401,11 @@ def test_import_and_contradictions(spark):
     assert {r.id: r.action for r in similarity.plan_import(new, active).collect()} == {1: "duplicate", 2: "add", 3: "duplicate", 4: "add"}
     docs = spark.createDataFrame([(1, "Intro.\n- Never run the suite twice"), (2, "use partial suite runs")], "doc_id long, text string")
     got = {r.rule_id: r.reason for r in similarity.contradictions(active, docs).collect()}
-    assert got == {1: "opposite polarity, shared terms: 2"}
+    assert got == {1: "shares 2 key terms with an opposite-polarity directive"}
 
 
 def test_contradicting_lines_reads_all_documents(spark):
-    t = {"rules": spark.createDataFrame([(7, "building rule")], "id long, body string"), "documents": spark.createDataFrame([(1, "Always use BUILDING rule"), (2, "Always use the building rule")], "doc_id long, text string")}
+    t = {"rules": spark.createDataFrame([(7, "building rule")], "id long, body string"), "papers": spark.createDataFrame([(1, "Always use BUILDING rule"), (2, "Always use the building rule")], "doc_id long, text string")}
     assert [(r.rule_id, r.doc_id) for r in text_queries.contradicting_lines(t).collect()] == [(7, "1")]
 
 
@@ -334,6 +435,7 @@ def test_transcript(spark, tmp_path):
     assert tools["u1"].result_chars == 5 and tools["u2"].result_chars == 4 and tools["u1"].file_path == "/a" and tools["u1"].input_chars == len('{"file_path":"/a"}')
     costs = {(r.kind, r.label): r.calls for r in transcripts.tool_costs(transcripts.tool_events(transcripts.entries(lines))).collect()}
     assert costs == {("builtin", "Read"): 2, ("skill", "pdf"): 1}
+    assert {r.grp for r in transcripts.tool_costs(transcripts.tool_events(transcripts.entries(lines))).collect()} == {"(builtin)", "(skills)"}
     assert {r.session_key: r.prompt for r in transcripts.first_prompts(lines).collect()} == {"one": "Please look at the parser and fix it"}
     d = {r.session_key: r.digest for r in transcripts.digests(lines).collect()}
     assert d["one"].split("\n")[:3] == ["USER: Please look at the parser and fix it", "ASSISTANT: hi", 'TOOL Read {"file_path":"/a"}']
@@ -364,9 +466,14 @@ def test_shared_files(spark):
     rules = spark.createDataFrame([(1, "a", "read once only", "active", 5, 3, None, "2024-01-01"), (2, "a", "skip \x07 bells", "active", None, 3, 9, "2024-01-02"), (3, "a", "old", "evicted", 1, 1, None, "x")], "id long, agent string, body string, status string, measured_delta long, context_cost long, source_run long, created_at string")
     files = ledger_files.shared_files(rules, "2024").select(F.col("agent").alias("path"), "content")
     assert ledger_files.verified_files(files).first() == ("a", 2, True)
-    bad = files.withColumn("content", F.replace("content", F.lit("- read once only"), F.lit("- read")))
+    bad = files.withColumn("content", F.replace("content", F.lit("): read once only"), F.lit("): read")))
     assert not ledger_files.verified_files(bad).first().valid
     assert [r.body for r in ledger_files.imported_rules(files).orderBy("pos").collect()] == ["read once only", "skip \x07 bells"]
     memory = ledger_files.compiled_memory(rules)
-    assert memory.first().content == "# Rules\n\n- read once only\n- skip bells\n"
+    assert memory.first().content == "<!-- GENERATED BY millrace — do not hand-edit -->\n# Efficiency rules\n\n- read once only\n- skip bells\n"
+    said = files.first().content
+    assert "2 active rule(s)" in said and "- **+5 tokens/run** (rent 3): read once only\n- **n/a tokens/run** (rent 3): skip" in said
+    assert "_No active rules yet._" in ledger_files.shared_files(rules.filter("status = 'evicted'"), "2024").first().content
+    scoped = ledger_files.compiled_memory(rules.withColumn("scope", F.when(F.col("id") == 1, "in\nsql")))
+    assert "- (when in sql) read once only\n- skip bells\n" in scoped.first().content
     assert ledger_files.drifted(rules, memory).collect() == [] and ledger_files.drifted(rules, memory.limit(0)).count() == 1

@@ -44,7 +44,7 @@ def test_decisions(spark):
     assert before["noise"] and got["noise"].rounds == 1 and added["noise", "with"] == 8 and ("noise", "without") not in added
     assert before["audit"] and 1 <= got["audit"].rounds <= 3
     decided = {r.comparison_id: (r.status, r.reason) for r in selection.decide(state, kinds).collect()}
-    assert decided["sure"][0] == "active" and decided["loss"][0] == "evicted" and decided["loss"][1].startswith("no saving")
+    assert decided["sure"][0] == "active" and decided["loss"][0] == "evicted" and decided["loss"][1].startswith("non-positive delta")
     assert decided["noise"][0] == ("evicted" if got["noise"].uncertain else "active")
     rec = {r.comparison_id: r for r in selection.receipts(after, state, selection.decide(state, kinds), F.lit(7)).collect()}
     assert rec["sure"].tasks_total == 4 and rec["sure"].runs == 3 and rec["sure"].tasks_passed_with == 4 and rec["sure"].status == "active"
