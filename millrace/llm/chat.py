@@ -23,6 +23,38 @@ def unescaped(text: str | Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
+def slim(x: Column) -> Column:
+    return F.struct(x["nth"].alias("nth"), x["before"].alias("before"), x["piece"].alias("piece"))
+
+
+def stretches(dealt: DataFrame, offset: DataFrame, cost: Column, size: int, history: int) -> DataFrame:
+    """A row for each ``size`` turns of a part: its turns in order with their prefix sums, its tail (the last turns of ``history`` tokens), the tail before it, and the system turn where the part holds it."""
+    own = Window.partitionBy("key", "part").orderBy(F.col("turn").asc_nulls_first(), "role", "raw")
+    placed = dealt.select("key", "conv_id", "part", "turn", "role", "raw", cost.alias("tokens")).repartition("key", "part")
+    placed = placed.select("*", (F.row_number().over(own) - 1).alias("r"), F.coalesce(F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
+    placed = placed.join(F.broadcast(offset), (F.col("key") == F.col("o_key")) & (F.col("part") == F.col("o_part")), "left")
+    nth, before = (F.col("r") + F.coalesce("rows", F.lit(0))).alias("nth"), (F.col("b") + F.coalesce("cost", F.lit(0))).alias("before")
+    head, body = F.concat(F.lit(TURN), escaped("role"), F.lit(BODY)), escaped("raw")
+    rows = placed.select(
+        "key", "conv_id", "part", F.coalesce("parts", F.lit(1)).alias("parts"), F.floor(F.col("r") / size).alias("seg"), nth, before, "tokens", (F.col("role") == "assistant").alias("learn"),
+        (F.col("role") == "system").alias("rules"), head.alias("head"), body.alias("body"),
+    ).select(
+        "key", "conv_id", "part", "parts", "seg", "before", "tokens", ((F.col("nth") == 0) & F.col("rules")).alias("system"),
+        F.struct("nth", "before", "tokens", "learn", F.length("head").alias("skip"), F.length("body").alias("chars"), F.concat("head", "body", F.lit(END)).alias("piece")).alias("x"),
+    )
+    segs = rows.groupBy("key", "part", "seg").agg(
+        F.max("conv_id").alias("conv_id"), F.max("parts").alias("parts"), F.sort_array(F.collect_list("x")).alias("p"), F.max(F.when(F.col("system"), F.struct("x.tokens", "x.piece"))).alias("system"), F.max(F.col("before") + F.col("tokens")).alias("end")
+    )
+    first = F.when(F.col("system").isNotNull(), F.element_at("p", 1)["nth"]).otherwise(-1)
+    tail = F.transform(F.filter("p", lambda x: (x["before"] >= F.col("end") - history) & (x["nth"] != first)), slim)
+    here = Window.partitionBy("key", "part").orderBy("seg")
+    segs = segs.withColumn("tail", tail)
+    return segs.select(
+        "key", "part", "seg", "conv_id", "parts", "p", "tail", F.first("system").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("system"),
+        F.lag("tail").over(here).alias("back"), F.lead("seg").over(here).isNull().alias("last"),
+    )
+
+
 def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 192, overhead: int = 4, stretch: int = 512, long_rows: int = 8192, most_long: int = 10_000) -> DataFrame:
     """A row a window: conv_id, win, text, loss (array of start and end, code points, end exclusive), repeated, tokens, over_budget, key, part, parts.
 
@@ -54,34 +86,10 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 192, overh
         F.count(F.lit(1)).over(Window.partitionBy("key")).alias("parts"),
     )
 
-    own = Window.partitionBy("key", "part").orderBy(F.col("turn").asc_nulls_first(), "role", "raw")
-    placed = dealt.select("key", "conv_id", "part", "turn", "role", "raw", cost.alias("tokens")).repartition("key", "part")
-    placed = placed.select("*", (F.row_number().over(own) - 1).alias("r"), F.coalesce(F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    placed = placed.join(F.broadcast(offset), (F.col("key") == F.col("o_key")) & (F.col("part") == F.col("o_part")), "left")
-    nth, before = (F.col("r") + F.coalesce("rows", F.lit(0))).alias("nth"), (F.col("b") + F.coalesce("cost", F.lit(0))).alias("before")
-    head, body = F.concat(F.lit(TURN), escaped("role"), F.lit(BODY)), escaped("raw")
     size = max(stretch, history // max(1, overhead) + 1)
-    rows = placed.select(
-        "key", "conv_id", "part", F.coalesce("parts", F.lit(1)).alias("parts"), F.floor(F.col("r") / size).alias("seg"), nth, before, "tokens", (F.col("role") == "assistant").alias("learn"),
-        (F.col("role") == "system").alias("rules"), head.alias("head"), body.alias("body"),
-    ).select(
-        "key", "conv_id", "part", "parts", "seg", "before", "tokens", ((F.col("nth") == 0) & F.col("rules")).alias("system"),
-        F.struct("nth", "before", "tokens", "learn", F.length("head").alias("skip"), F.length("body").alias("chars"), F.concat("head", "body", F.lit(END)).alias("piece")).alias("x"),
-    )
-    segs = rows.groupBy("key", "part", "seg").agg(
-        F.max("conv_id").alias("conv_id"), F.max("parts").alias("parts"), F.sort_array(F.collect_list("x")).alias("p"), F.max(F.when(F.col("system"), F.struct("x.tokens", "x.piece"))).alias("system"), F.max(F.col("before") + F.col("tokens")).alias("end")
-    )
-    slim = lambda x: F.struct(x["nth"].alias("nth"), x["before"].alias("before"), x["piece"].alias("piece"))
-    first = F.when(F.col("system").isNotNull(), F.element_at("p", 1)["nth"]).otherwise(-1)
-    tail = F.transform(F.filter("p", lambda x: (x["before"] >= F.col("end") - history) & (x["nth"] != first)), slim)
-    here = Window.partitionBy("key", "part").orderBy("seg")
-    segs = segs.withColumn("tail", tail)
-    segs = segs.select(
-        "key", "part", "seg", "conv_id", "parts", "p", "tail", F.first("system").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("system"),
-        F.lag("tail").over(here).alias("back"), F.lead("seg").over(here).isNull().alias("last"),
-    )
+    segs = stretches(dealt, offset, cost, size, history)
     # what parts of long conversations take over from the parts before: the system turn, and as much history as any window may repeat
-    ends = segs.filter("parts > 1 AND last").select("key", "part", "tail", "system")
+    ends = stretches(dealt.filter("long"), offset, cost, size, history).filter("last").select("key", "part", "tail", "system")
     few = Window.partitionBy("key").orderBy("part").rowsBetween(-size, -1)
     start = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     carried = ends.select(F.col("key").alias("c_key"), F.col("part").alias("c_part"), F.flatten(F.collect_list("tail").over(few)).alias("c_back"), F.first("system").over(start).alias("c_system"))
