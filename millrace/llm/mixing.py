@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, stored, word_count
+from .common import prefix_sums, stored, unused, word_count
 
 GOLDEN = 0.6180339887498949
 
@@ -67,7 +67,7 @@ def mix(
     goal = sum(targets)
     block = max(block_words, int(goal // most_slots) + 1)
     need = [-(-round(t) // block) for t in targets]
-    plan = [(i, r["source"], r["words"], t, n, max(1, r["rows"] // 20_000)) for i, (r, t, n) in enumerate(zip(totals, targets, need, strict=True))]
+    plan = [(i, r["source"], r["words"], t, n, 1 + min(r["rows"] // 1000, 8191)) for i, (r, t, n) in enumerate(zip(totals, targets, need, strict=True))]
     sources = F.broadcast(spark.createDataFrame(plan, "sid int, s_source string, source_size long, target double, need long, parts int"))
     part = F.floor(F.shiftrightunsigned("h", 40) * F.col("parts") / (1 << 24)).cast("int")
     lined = (
@@ -105,35 +105,49 @@ def schedule(spark, targets: Sequence[float], need: Sequence[int], chunk: int =
     for t in targets[:-1]:
         total += t
         cuts.append(total / goal if goal else 0.0)
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    # as many stretches of [0, 1) as sources: each knows the edges before it and those inside, one on average, so a slot looks at few
+    n_bins = 1 << max(len(targets) - 1, 1).bit_length()
+    inner: list[list[float]] = [[] for _ in range(n_bins)]
+    for c in cuts:
+        inner[min(int(c * n_bins), n_bins - 1)].append(c)
+    bins, seen = [], 0
+    for k, own in enumerate(inner):
+        bins.append((k, seen, own))
+        seen += len(own)
+    edges = F.broadcast(spark.createDataFrame(bins, "bin int, under int, edges array<double>"))
     point = (F.col("slot") + 0.5) * GOLDEN % 1.0
-    named = spark.range(n).withColumnRenamed("id", "slot").select("slot", F.size(F.filter(edges, lambda c: c <= point)).alias("sid"), F.floor(F.col("slot") / chunk).alias("chunk"))
+    named = spark.range(n).select(F.col("id").alias("slot"), point.alias("point")).withColumn("b", F.floor(F.col("point") * n_bins).cast("int")).join(edges, F.col("b") == F.col("bin"))
+    named = named.select("slot", (F.col("under") + F.size(F.filter("edges", lambda c: c <= F.col("point")))).alias("sid"), F.floor(F.col("slot") / chunk).alias("chunk"))
     wants = spark.createDataFrame([(i, x) for i, x in enumerate(need)], "w_sid int, need long")
     ranked = prefix_sums(named, ["sid"], "chunk", [F.col("slot")], {}, "rank").join(F.broadcast(wants), F.col("sid") == F.col("w_sid")).filter(F.col("rank") < F.col("need")).select("slot", "sid", "rank")
-    had = named.groupBy("sid").agg(F.count(F.lit(1)).alias("had")).withColumnRenamed("sid", "h_sid")
-    late = (
-        wants.join(had, F.col("w_sid") == F.col("h_sid"), "left")
-        .select(F.col("w_sid").alias("sid"), "need", F.coalesce("had", F.lit(0)).alias("had"))
-        .filter(F.col("had") < F.col("need"))
-        .select("sid", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank"))
-    )
-    late = late.select((F.row_number().over(Window.orderBy("rank", "sid")) - 1 + n).cast("long").alias("slot"), "sid", "rank")
-    return ranked.unionByName(late)
+    # a row a source, like the totals
+    had = {r["sid"]: r["had"] for r in named.groupBy("sid").agg(F.count(F.lit(1)).alias("had")).collect()}
+    late, at = [], n
+    for i, x in enumerate(need):
+        if had.get(i, 0) < x:
+            late.append((i, had.get(i, 0), x, at))
+            at += x - had.get(i, 0)
+    lacking = spark.createDataFrame(late, "sid int, had long, need long, at long").select("sid", "had", "at", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank"))
+    return ranked.unionByName(lacking.select((F.col("at") + F.col("rank") - F.col("had")).alias("slot"), "sid", "rank"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, whole, as often as it takes them; columns as in ``docs``.
+    """The rows of ``docs`` that the mix takes, whole, as often as it takes them; columns as in ``docs``, whatever their names.
 
-    Rows that repeat in full share out what the mix takes of them.
+    A document starts in the block that takes it, so one without words, null or empty, is taken like its neighbours in the shuffled order, and a very long one is never
+    cut. A null source is a source of its own, a null id an id like others. Rows that repeat in full share out what the mix takes of them; rows alike but for
+    other columns count as such. An empty table gives no rows.
     """
+    k1, k2, t1, t2, taken, same_, often = unused(docs, "k1", "k2", "t1", "t2", "takes", "alike", "times")
     names = [how.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))]
     seed = how.get("seed", 17)
     rows, segments = mix(docs, whole=True, **how)
-    takes = segments.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("__takes"))
-    alike = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("__alike"))
-    of = takes.join(alike, ["k1", "k2"]).withColumnsRenamed({"k1": "__t1", "k2": "__t2"})
-    keyed = docs.select("*", F.xxhash64(*names).alias("__k1"), F.xxhash64(F.lit(seed), F.col(names[2]), F.col(names[1]), F.col(names[0])).alias("__k2"))
-    joined = keyed.join(of, (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2")))
-    nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(0)))
-    times = F.floor(F.col("__takes") / F.col("__alike")) + F.when(nth <= F.col("__takes") % F.col("__alike"), 1).otherwise(0)
-    return joined.select(*docs.columns, times.alias("__times")).filter("__times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    takes = segments.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias(taken))
+    alike = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias(same_))
+    of = takes.join(alike, ["k1", "k2"]).withColumnsRenamed({"k1": t1, "k2": t2})
+    keyed = docs.select("*", F.xxhash64(*names).alias(k1), F.xxhash64(F.lit(seed), F.col(names[2]), F.col(names[1]), F.col(names[0])).alias(k2))
+    joined = keyed.join(of, (F.col(k1) == F.col(t1)) & (F.col(k2) == F.col(t2)))
+    nth = F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0)))
+    times = F.floor(F.col(taken) / F.col(same_)) + F.when(nth <= F.col(taken) % F.col(same_), 1).otherwise(0)
+    copies = joined.select(*docs.columns, times.cast("int").alias(often)).filter(F.col(often) > 0)
+    return copies.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(often))).alias(k1)).select(*docs.columns)
