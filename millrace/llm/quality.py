@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 from .shingles import mixed, slices, word_hashes
 
 NAMES = [
@@ -170,19 +170,24 @@ def quality(
     """One row a row of ``docs``: id and score, the calibrated chance that its label is 1.
 
     Learns from the labels (id, label) of rows for which ``trained`` (of the id column) holds; only the text is an input. All such rows are used, four fifths
-    for the fit, one fifth (by a hash of the id) for the calibration. Null labels aren't learned; null text is empty text; an empty
+    for the fit, one fifth (by a hash of the id) for the calibration. Of several labels of an id the smallest counts. Null labels aren't learned; null text is empty text; an empty
     text is scored like any other; rows that repeat get equal scores; a null id is scored; an empty table gives no rows. Where labels of
-    a kind are missing, all scores are the smoothed share of label 1.
+    a kind are missing, all scores are the smoothed share of label 1. Other columns aren't read.
     """
+    return scored(docs, labels, trained, features, width, ridge, seed, id_col, text_col, label_col).select(F.col("id").alias(id_col), "score")
+
+
+def scored(docs: DataFrame, labels: DataFrame, trained: Column, features: int = 256, width: float = 3.5, ridge: float = 1e-3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """id, row (a hash of id and text) and score of each row, as ``quality`` says."""
     spark = docs.sparkSession
-    rows = stored(measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "quality-x")
-    known = labels.filter(trained & F.col(label_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("y")).dropDuplicates(["l_id"])
+    rows = stored(measured(docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))), "quality-x")
+    known = labels.filter(trained & F.col(label_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("y")).groupBy("l_id").agg(F.min("y").alias("y"))
     learn = stored(rows.join(known, F.col("id") == F.col("l_id")).select("id", "x", "y", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(5)) == 0).alias("held")), "quality-learn")
     dims = range(len(NAMES))
     told = learn.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), *[f(F.col("x")[i]).alias(f"{k}{i}") for i in dims for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     n, y = told["n"], told["y"] or 0.0
     if not 0 < y < n:
-        return rows.select(F.col("id").alias(id_col), F.lit((y + 0.5) / (n + 1)).alias("score"))
+        return rows.select("id", "row", F.lit((y + 0.5) / (n + 1)).alias("score"))
     kernel = Kernel(np.array([told[f"m{i}"] for i in dims]), np.array([told[f"s{i}"] for i in dims]), width, features, seed)
     fitted, left = learn.filter("NOT held"), learn.filter("held")
     if left.isEmpty() or fitted.isEmpty():
@@ -209,12 +214,17 @@ def quality(
             raw = batch.column("raw").to_numpy()
             # a trace of the raw score keeps the order within a block
             s = 0.998 * np.interp(raw, at, rate) + 0.002 / (1 + np.exp(-4 * (raw - 0.5)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(s)], names=["id", "row", "score"])
 
-    return rows.select("id", "x").mapInArrow(calibrated, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return rows.select("id", "row", "x").mapInArrow(calibrated, f"id {rows.schema['id'].dataType.simpleString()}, row long, score double")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, trained: Column, least: float = 0.7, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``; columns as in ``docs``. Rows of one id share the best score among them."""
-    good = quality(docs, labels, trained, id_col=id_col, **how).filter(F.col("score") >= least).select(F.col(id_col).alias("__good")).distinct()
-    return docs.join(good, F.col(id_col).eqNullSafe(F.col("__good")), "left_semi")
+def good_documents(docs: DataFrame, labels: DataFrame, trained: Column, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``; columns as in ``docs``, whatever their names.
+
+    Each row is judged by its own text, so unlike texts under one id, or under none, are judged apart; rows that repeat stay or go together. Null and empty texts are
+    scored like others. An empty table gives no rows.
+    """
+    row, good = unused(docs, "row", "good")
+    kept = scored(docs, labels, trained, id_col=id_col, text_col=text_col, **how).filter(F.col("score") >= least).select(F.col("row").alias(good)).distinct()
+    return docs.withColumn(row, F.xxhash64(id_col, text_col)).join(kept, F.col(row) == F.col(good), "left_semi").select(*docs.columns)

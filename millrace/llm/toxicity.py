@@ -164,10 +164,15 @@ class Scanner:
 
 
 def apart(rows: DataFrame) -> DataFrame:
-    """One of the rows (id, text, y) that share their smallest shingle of three words, as near copies do, and a fold of 0 or 1."""
+    """One of the rows (id, text, y) that share their smallest shingle of three words, as near copies do, and a fold of 0 or 1.
+
+    Which one is settled by a hash of the row, so neither the order of rows nor their partitions decide.
+    """
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
     shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    return rows.withColumn("w", words).withColumn("key", F.array_min(shingles)).drop("w").dropDuplicates(["key"]).withColumn("fold", F.pmod("key", F.lit(2)).cast("int")).drop("key")
+    keyed = rows.withColumn("w", words).withColumn("key", F.array_min(shingles))
+    one = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "text").alias("h"), "y", "id", "text")).alias("r"))
+    return one.select("r.id", "r.text", "r.y", F.pmod("key", F.lit(2)).cast("int").alias("fold"))
 
 
 def learned_terms(rows: DataFrame, least: int, surprise: float, most_terms: int) -> list[Term]:
@@ -293,13 +298,13 @@ def toxicity(
 
     Lexicon and weights are learned from about ``sample`` labelled rows for which ``trained`` (of the id column) holds, chosen by a hash of the id; only
     texts are inputs. At most ``most_terms`` terms are kept. What the distinct words of the whole text tell is added up, and the sum is
-    calibrated by isotonic regression on the same rows. Null labels aren't learned; null, empty and clean texts get the score of a sum of 0; rows
+    calibrated by isotonic regression on the same rows. An id with several labels counts as toxic if one of them says so. Null labels aren't learned; null, empty and clean texts get the score of a sum of 0; rows
     that repeat get equal results; a null id is scored; an empty table gives no rows; without labels of both kinds there is no
     lexicon and all score alike.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = labels.filter(trained & F.col(label_col).isNotNull()).select(F.col(id_col).alias("l_id"), (F.col(label_col) > 0).cast("int").alias("y")).dropDuplicates(["l_id"])
+    known = labels.filter(trained & F.col(label_col).isNotNull()).select(F.col(id_col).alias("l_id"), (F.col(label_col) > 0).cast("int").alias("y")).groupBy("l_id").agg(F.max("y").alias("y"))
     n = known.count()
     known = known.filter(F.pmod(F.xxhash64("l_id", F.lit(9)), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(n, 1)))
     learn = stored(apart(rows.join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", "text", "y")), "toxic-learn")  # the sample bounds what is broadcast
