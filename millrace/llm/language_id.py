@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .shingles import mixed
 
 ORDER = 4
@@ -72,11 +73,16 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+def discount(ones: int, twos: int) -> float:
+    """What is taken off each count, by the numbers of groups seen once and twice."""
+    return float(min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95))
+
+
 class Model:
     """log probabilities by order: grams (keys, table) and weights of unseen continuations (keys, table), a column a language."""
 
-    def __init__(self, langs: list[str], counts: list[tuple[list[np.ndarray], np.ndarray]]):
-        """counts: for each language, distinct groups ([character, before, ...]) and their counts."""
+    def __init__(self, langs: list[str], counts: list[tuple[list[np.ndarray], np.ndarray]], cuts: list[float] | None = None):
+        """counts: for each language, distinct groups ([character, before, ...]) and their counts. cuts: discounts of the longest groups where some are left out."""
         self.langs = langs
         size = len(np.unique(np.concatenate([g[0] for g, _ in counts]))) + 1
         levels = []  # by order from 1: a language's (keys, probability, context keys, weight)
@@ -100,8 +106,7 @@ class Model:
             of = np.searchsorted(known, contexts)
             for j, rows in enumerate(levels):
                 g, n = rows[k]
-                ones, twos = (n == 1).sum(), (n == 2).sum()
-                cut = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+                cut = cuts[j] if cuts and k == ORDER else discount((n == 1).sum(), (n == 2).sum())
                 at = np.searchsorted(keys, hashed(g, 0))
                 total, kinds = np.bincount(of[at], n, len(known)), np.bincount(of[at], minlength=len(known))
                 has = total > 0
@@ -146,7 +151,7 @@ class Model:
 
 
 def parts(texts: pa.Array, most: int = 1 << 18, longest: int = 1 << 20) -> Iterator[tuple[int, list[str], list[int]]]:
-    """(first row, pieces of texts, the row of each piece after the first), in lots of about ``most`` characters. A long text comes in pieces."""
+    """(first row, pieces of texts, the row of each piece after the first), in lots of about ``most`` characters. A long text comes in pieces cut between words."""
     lot: list[str] = []
     rows: list[int] = []
     size = first = 0
@@ -160,9 +165,16 @@ def parts(texts: pa.Array, most: int = 1 << 18, longest: int = 1 << 20) -> Itera
                 lot.append(t)
                 rows.append(i - first)
             else:
-                for x in range(0, len(t), longest):
-                    lot.append(t[x : x + longest])
+                x = 0
+                while x < len(t):
+                    end = x + longest
+                    if end < len(t):
+                        # after a blank, so that no word is cut; only one of over 4096 characters may be
+                        blank = next((k for k in range(end, max(x, end - 4096), -1) if t[k - 1].isspace()), end)
+                        end = blank
+                    lot.append(t[x:end])
                     rows.append(i - first)
+                    x = end
             size += len(t)
     if lot:
         yield first, lot, rows
@@ -217,32 +229,49 @@ def entropies(rows: DataFrame, held, ids: list[str]) -> DataFrame:
     return rows.select(*ids, F.col("text")).mapInArrow(work, f"{types}{', ' if types else ''}ce array<double>, chars long, letter boolean")
 
 
-def fit(train: DataFrame, sample: int = 2000, most_cells: int = 20_000_000, most_langs: int = 500) -> tuple[Model, float, dict[str, float]]:
-    """(model, temperature, cross-entropy by language beyond which a text is rejected) from rows (id, text, lang).
+def fit(train: DataFrame, sample: int = 2000, most_cells: int = 20_000_000, most_langs: int = 500) -> tuple[Model, float, dict[str, float]] | None:
+    """(model, temperature, cross-entropy by language beyond which a text is rejected) from rows (id, text, lang); None where there is nothing to learn.
 
-    Counts come from about ``sample`` rows a language, chosen by a hash of the id; every tenth of these calibrates only. The rarest
-    groups go if groups times languages exceed ``most_cells``. A language none of whose chosen rows has a letter isn't learned.
+    Counts come from about ``sample`` rows a language, chosen by a hash of the id; every tenth of these calibrates only. Tables hold groups times
+    languages, ``most_cells`` at most: where a language has more groups than its share of that, its most frequent ones are kept, and its discount is still that of all.
+    A language none of whose chosen rows has a letter isn't learned; of more than ``most_langs`` languages the most frequent are.
     """
     spark = train.sparkSession
     known = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count().limit(most_langs + 1).collect()
-    if not sizes or len(sizes) > most_langs:
-        raise ValueError(f"{len(sizes)} languages to learn")
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    if not sizes:
+        return None
     part = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)).withColumn("turn", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(10)))
+    share = F.try_element_at(part, F.col("lang"))
+    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).withColumn("turn", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(10)))
     # from 20 rows on; below that there is nothing to spare
     few = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(r["count"] < 20))])
-    counts = gram_counts(chosen.filter((F.col("turn") > 0) | few[F.col("lang")]), "lang")
-    table = counts.orderBy(F.col("n").desc(), "key", "g").limit(max(1000, most_cells // len(sizes))).toPandas()
-    langs = sorted(table["key"].unique())
+    counts = stored(gram_counts(chosen.filter((F.col("turn") > 0) | few[F.col("lang")]), "lang"), "lang-grams")
+    # how many groups of a language occur how often: few rows, as frequencies repeat
+    told: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("key", F.least("n", F.lit(10_000)).alias("n")).count().collect():
+        told.setdefault(r["key"], []).append((r["n"], r["count"]))
+    langs = sorted(told)
     if not langs:
-        raise ValueError("no text to learn from")
-    by = []
+        return None
+    quota, least, cuts = max(1000, most_cells // len(langs) ** 2), {}, []
+    for lang in langs:
+        own, least[lang] = 0, 1
+        for n, kinds in sorted(told[lang], reverse=True):
+            own += kinds
+            if own > quota and own > kinds:
+                least[lang] = n + 1
+                break
+        ones, twos = (dict(told[lang]).get(n, 0) for n in (1, 2))
+        cuts.append(discount(ones, twos))
+    floor = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(least[lang]))])
+    table = counts.filter(F.col("n") >= F.try_element_at(floor, F.col("key"))).select("key", *[F.col("g")[k].alias(f"g{k}") for k in range(ORDER)], "n").orderBy("key", *[f"g{k}" for k in range(ORDER)]).toArrow()
+    names, by = table.column("key").to_numpy(), []
     for lang in langs:
-        own = table[table["key"] == lang]
-        g = np.stack([np.asarray(x) for x in own["g"]]).astype(np.uint32)
-        by.append(([g[:, k] for k in range(ORDER)], own["n"].to_numpy()))
-    model = Model(langs, by)
+        lo, hi = np.searchsorted(names, lang, "left"), np.searchsorted(names, lang, "right")
+        own = table.slice(lo, hi - lo)
+        by.append(([own.column(f"g{k}").to_numpy().astype(np.uint32) for k in range(ORDER)], own.column("n").to_numpy()))
+    model = Model(langs, by, cuts)
     held = spark.sparkContext.broadcast(model)
     seen = entropies(chosen.filter((F.col("turn") == 0) | few[F.col("lang")]).select("id", "lang", "text"), held, ["lang"]).filter("letter").toPandas()
     seen = seen[seen["lang"].isin(langs)]
@@ -273,12 +302,13 @@ def identify(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col:
     score is the calibrated probability of lang_pred. Text that is null or has no letter is `und` with score 0. A text whose best cross-entropy
     lies well beyond that of nearly all calibration rows of its language is marked rejected, and keeps its nearest language. Of equal
     cross-entropies the language first by code point wins. Rows that repeat get equal results; a null lang isn't learned;
-    an empty table gives no rows; a table without a row to learn from raises ValueError.
+    an empty table gives no rows; where no row can be learned from, all texts are `und` with score 0. Very long texts are read whole. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if rows.isEmpty():
-        return rows.select(F.col("id").alias(id_col), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(False).alias("rejected"))
-    model, heat, far = fit(docs.filter(trained).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), **how)
+    learned = fit(docs.filter(trained).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), **how)
+    if learned is None:
+        return rows.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("rejected"))
+    model, heat, far = learned
     ce = entropies(rows, docs.sparkSession.sparkContext.broadcast(model), ["id"])
     names, limits = F.array(*[F.lit(x) for x in model.langs]), F.array(*[F.lit(far[x]) for x in model.langs])
     best = F.array_min("ce")
