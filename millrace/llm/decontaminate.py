@@ -14,6 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .secret_scan import lots
 
@@ -176,7 +177,9 @@ def find_items(
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, item_id long, distance int, budget int, start int, end int"
+    of_item = benchmark.schema[item_col].dataType
+    item_type = to_arrow_type(of_item)
+    schema = f"id {kind}, item_id {of_item.simpleString()}, distance int, budget int, start int, end int"
     out = docs.sparkSession.createDataFrame([], schema)
     for lot in item_lots(benchmark, item_col, item_text_col, most_chars):
         held = docs.sparkSession.sparkContext.broadcast(lot)
@@ -189,14 +192,18 @@ def find_items(
                     if got:
                         at, item, k, distance, start, end = zip(*got, strict=True)
                         ints = [pa.array(x, pa.int32()) for x in (distance, k, start, end)]
-                        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(item, pa.int64()), *ints], names=["id", "item_id", "distance", "budget", "start", "end"])
+                        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(item, item_type), *ints], names=["id", "item_id", "distance", "budget", "start", "end"])
 
         out = out.unionByName(rows.mapInArrow(work, schema))
     return out.withColumnRenamed("id", id_col)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, piece: int = 12, most_chars: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item; columns as in ``docs``. Rows are dropped where they are, so nothing is joined or moved."""
+    """The rows of ``docs`` that hold no item, as ``find_items`` tells; columns as in ``docs``, whatever their names.
+
+    Rows are dropped where they are, so nothing is joined or moved, and rows that repeat stay or go together. Null and empty texts hold nothing and stay; texts are searched
+    whole, however long; an empty table, or one of items, changes nothing.
+    """
     for lot in item_lots(benchmark, item_col, item_text_col, most_chars):
         held = docs.sparkSession.sparkContext.broadcast(lot)
 

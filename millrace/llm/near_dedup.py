@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, unused
 from .shingles import mixed, shingle_sets, slices
 
 BATCH = 32
@@ -120,8 +120,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: in
                     )
                 at += len(part)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return source.mapInArrow(work, "id long, row long, n long, d1 long, d2 long, sig binary, keys array<long>")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return source.mapInArrow(work, f"id {source.schema['id'].dataType.simpleString()}, row long, n long, d1 long, d2 long, sig binary, keys array<long>")
 
 
 def sigs_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -361,7 +361,10 @@ def near_dedup(
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered. The set of a text: its distinct shingles of ``width`` words; all words as one where there are
     fewer; empty without words or text, and then linked with nothing. Linked: 100 * intersection >= ``percent`` * union. Rows that
     repeat are linked. Rows with a null id join groups but never name one unless all ids of the group are null. An empty table
-    gives no rows; other columns aren't read.
+    gives no rows; other columns aren't read. Ids may be of any type that has an order.
+
+    Sets are of 64-bit hashes of words and shingles, and equal sets are told by their size and two sums over them. Texts made to collide in these hashes would pass
+    for alike; others do so with a chance of some 2**-64 a pair.
 
     ``hashes`` / ``rows`` bands: at a similarity of 0.8, 32 bands of 4 miss a pair with probability 5e-8. ``miss`` bounds the
     posterior at which a pair is dropped.
@@ -384,13 +387,14 @@ def near_dedup(
 def first_of_groups(
     docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 128, rows: int = 4, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row of ``docs`` for each group of ``near_dedup``, that with the smallest id (null last); columns as in ``docs``.
+    """One row of ``docs`` for each group of ``near_dedup``, that with the smallest id (null last); columns as in ``docs``, whatever their names.
 
     Groups are told by their links, not by their ids, so ids that are null or repeat over unlike texts lose no row. Rows without words are
     linked with nothing and stay, but of those that repeat with their id one.
     """
+    row, each, nth = unused(docs, "row", "each", "nth")
     marks, named = classes_of(docs, width, percent, hashes, rows, miss, id_col, text_col)
-    leads = named.groupBy("root").agg(F.min_by("row", F.struct(F.col("least").isNull(), "least", "row")).alias("__row")).select("__row", F.lit(False).alias("__each"))
-    blank = marks.filter("n = 0").select(F.col("row").alias("__row"), F.col("id").isNull().alias("__each")).distinct()
-    kept = docs.withColumn("__row", F.xxhash64(id_col, text_col)).join(leads.unionByName(blank), "__row")
-    return kept.withColumn("__nth", F.when(F.col("__each"), F.monotonically_increasing_id())).dropDuplicates(["__row", "__nth"]).select(*docs.columns)
+    leads = named.groupBy("root").agg(F.min_by("row", F.struct(F.col("least").isNull(), "least", "row")).alias(row)).select(row, F.lit(False).alias(each))
+    blank = marks.filter("n = 0").select(F.col("row").alias(row), F.col("id").isNull().alias(each)).distinct()
+    kept = docs.withColumn(row, F.xxhash64(id_col, text_col)).join(leads.unionByName(blank), row)
+    return kept.withColumn(nth, F.when(F.col(each), F.monotonically_increasing_id())).dropDuplicates([row, nth]).select(*docs.columns)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -90,12 +90,13 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, id_col: s
     rows = dict.fromkeys(range(n), 0)
     rows |= {r["part"]: r["n"] for r in keys.groupBy(below(cuts)("key").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     starts = [(p, sum(rows[q] for q in range(p - p % per, p))) for p in range(n)]
-    firsts = F.broadcast(docs.sparkSession.createDataFrame(starts, "__p int, __first long"))
+    key, part, p, first, row = unused(docs, "key", "part", "p", "first", "row")
+    firsts = F.broadcast(docs.sparkSession.createDataFrame(starts, f"`{p}` int, `{first}` long"))
     kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    placed = docs.select(*kept, size.alias("size"), at.alias("__key")).withColumn("__part", below(cuts)("__key"))
-    order = Window.partitionBy("__part").orderBy("__key", F.col(id_col).asc_nulls_first(), F.xxhash64(F.col(text_col)))
+    placed = docs.select(*kept, size.alias("size"), at.alias(key)).withColumn(part, below(cuts)(key))
+    order = Window.partitionBy(part).orderBy(key, F.col(id_col).asc_nulls_first(), F.xxhash64(F.col(text_col)))
     return (
-        placed.withColumn("__row", F.row_number().over(order) - 1)
-        .join(firsts, F.col("__part") == F.col("__p"))
-        .select(*kept, "size", F.floor(F.col("__part") / per).cast("int").alias("shard"), (F.col("__first") + F.col("__row")).cast("long").alias("slot"))
+        placed.withColumn(row, F.row_number().over(order) - 1)
+        .join(firsts, F.col(part) == F.col(p))
+        .select(*kept, "size", F.floor(F.col(part) / per).cast("int").alias("shard"), (F.col(first) + F.col(row)).cast("long").alias("slot"))
     )
