@@ -102,3 +102,13 @@ def test_empty(spark, documents):
     none = spark.createDataFrame([], ITEMS)
     assert find_items(documents([(1, "a")]), none).collect() == [] and find_items(documents([]), none).collect() == []
     assert len(decontaminated(documents([(1, "a"), (2, None)]), none).collect()) == 2
+
+
+def test_items_of_any_id_and_clashing_columns(spark, documents):
+    item = "the quick brown fox jumps over the lazy dog by the old river bank"
+    bench = spark.createDataFrame([("q-1", item), (None, "short one two"), ("q-2", None)], "item_id string, text string")
+    df = documents([(1, f"so {item}!"), (2, None), (3, "a short one two"), (4, "x " * 300_000 + item)]).selectExpr("*", "1 AS item_id", "2 AS id", "3 AS distance")
+    assert sorted((r.doc_id, r.item_id or "") for r in find_items(df, bench).collect()) == [(1, "q-1"), (3, ""), (4, "q-1")]
+    kept = decontaminated(df, bench)
+    assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [2]
+    assert decontaminated(df.limit(0), bench).collect() == [] and decontaminated(df, bench.limit(0)).count() == 4

@@ -1,3 +1,6 @@
+import bisect
+import itertools
+import math
 import random
 import re
 
@@ -72,6 +75,33 @@ def test_schedule_ranks(spark):
     assert 5 <= first.count(0) <= 7 and 1 <= first.count(1) <= 3
 
 
+def test_schedule_of_many_sources(spark):
+    """Many sources, most of them tiny, get the slots that a plain search finds."""
+    rng = random.Random(5)
+    targets = [rng.choice([0.0, 0.01, 1.0, 40.0]) for _ in range(700)]
+    need = [math.ceil(t) for t in targets]
+    got = {(x.sid, x.rank): x.slot for x in schedule(spark, targets, need, chunk=50).collect()}
+    edges = list(itertools.accumulate(targets[:-1]))
+    of = [bisect.bisect_right([e / sum(targets) for e in edges], (i + 0.5) * 0.6180339887498949 % 1.0) for i in range(sum(need))]
+    want, seen = {}, [0] * len(need)
+    for slot, s in enumerate(of):
+        if seen[s] < need[s]:
+            want[s, seen[s]] = slot
+            seen[s] += 1
+    assert {k: v for k, v in got.items() if v < len(of)} == want
+    late = sorted(v for v in got.values() if v >= len(of))
+    assert late == list(range(len(of), len(of) + sum(need) - len(want))) and set(got) == {(s, r) for s, n in enumerate(need) for r in range(n)}
+
+
+def test_clashing_columns_and_very_long_texts(documents):
+    rows = [(1, "w " * 400_000, "en", "a"), (2, "x", "en", "a"), (3, None, "en", None)]
+    df = documents(rows).selectExpr("*", "1 AS __times", "2 AS times", "3 AS K1", "4 AS __k1", "5 AS rank", "6 AS sid")
+    got = mixed_documents(df)
+    assert got.columns == df.columns and {r.doc_id for r in got.collect()} >= {1}
+    r, segments = mix(df)
+    assert r.count() == 3 and segments.agg({"words": "sum"}).first()[0] == 600_002
+
+
 def test_whole_documents(documents):
     rows = corpus()
     got = mixed_documents(documents(rows), block_words=64).collect()

@@ -1,10 +1,13 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.language_id import Model, characters, gram_counts, identify
+from millrace.llm.language_id import Model, characters, gram_counts, identify, parts
 from millrace.llm.quality import NAMES, good_documents, isotonic, normal_sums, quality, statistics
 from millrace.llm.toxicity import Lexicon, Scanner, Term, toxicity
 
@@ -51,8 +54,68 @@ def test_rejection(documents):
 
 def test_empty_tables(documents):
     assert identify(documents([]), odd()).collect() == []
-    with pytest.raises(ValueError):
-        identify(documents([(2, "x")]), odd())
+    for rows in ([(2, "x")], [(1, "x", None), (2, None)], [(1, "12 3"), (2, "z")]):
+        got = identify(documents(rows), odd()).collect()
+        assert [(r.lang_pred, r.score, r.rejected) for r in got] == [("und", 0.0, False)] * len(rows)
+
+
+class Plain:
+    """Interpolated Kneser-Ney over dictionaries: a group is (character, the one before, ...) within its word."""
+
+    def __init__(self, texts):
+        top = Counter()
+        for t in texts:
+            for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+                for i, c in enumerate(w + "\0"):
+                    top[(c, *(w[i - k] if i >= k else "\0" for k in (1, 2, 3)))] += 1
+        self.n = {4: top}
+        for k in (3, 2, 1):
+            self.n[k] = Counter(g[:k] for g in self.n[k + 1])
+        self.size = len({g[0] for g in top}) + 1
+        self.cut = {k: min(max((ones := sum(v == 1 for v in n.values())) / max(ones + 2 * sum(v == 2 for v in n.values()), 1), 0.1), 0.95) for k, n in self.n.items()}
+
+    def p(self, g):
+        k = len(g)
+        if not k:
+            return 1 / self.size
+        same = [v for x, v in self.n[k].items() if x[1:] == g[1:]]
+        if not same:
+            return self.p(g[:-1])
+        return max(self.n[k][g] - self.cut[k], 0) / sum(same) + self.cut[k] * len(same) / sum(same) * self.p(g[:-1])
+
+
+def test_kneser_ney_against_dictionaries(documents):
+    rng = random.Random(27)
+    texts = {lang: [speak(rng, SOUNDS[lang], 25) for _ in range(3)] for lang in ("aa", "cc")}
+    rows = documents([(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang in texts for t in texts[lang])])
+    counted = gram_counts(rows.select("lang", "text"), "lang").toPandas()
+    by = []
+    for lang in texts:
+        own = counted[counted["key"] == lang]
+        g = np.stack([np.asarray(x) for x in own["g"]]).astype(np.uint32)
+        by.append(([g[:, k] for k in range(4)], own["n"].to_numpy()))
+    model, plain = Model(list(texts), by), {lang: Plain(t) for lang, t in texts.items()}
+    size = len({x for p in plain.values() for g in p.n[1] for x in g}) + 1
+    for p in plain.values():
+        p.size = size
+    for t in ("kalomi tesch", "Zug! mi", "\u00e7\u00e3o kaq"):
+        ce, n, _ = model.entropies([t])
+        for j, lang in enumerate(texts):
+            logs = []
+            for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+                for i, c in enumerate(w + "\0"):
+                    logs.append(math.log(plain[lang].p((c, *(w[i - k] if i >= k else "\0" for k in (1, 2, 3))))))
+            assert n[0] == len(logs) and ce[0, j] == pytest.approx(-sum(logs) / len(logs), rel=1e-4), (t, lang)
+
+
+def test_long_texts_are_cut_between_words():
+    rng = random.Random(28)
+    t = speak(rng, SOUNDS["aa"], 3000)
+    pieces = [x for _, lot, _ in parts(pa.array([t, "x" * 9000]), most=500, longest=1000) for x in lot]
+    n = next(i for i, x in enumerate(pieces) if x.startswith("x"))
+    assert "".join(pieces[:n]) == t and all(x[-1].isspace() for x in pieces[: n - 1]) and "".join(pieces[n:]) == "x" * 9000
+    whole, cut = characters([t])[0], characters(pieces[:n])[0]
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
 
 
 def test_probabilities_sum_to_one(spark, documents):
@@ -64,7 +127,8 @@ def test_probabilities_sum_to_one(spark, documents):
     for past in (("k", "a", "l"), ("a", "\0", "\0"), ("\0", "\0", "\0"), ("z", "z", "z")):
         rows = [alphabet] + [np.full(len(alphabet), ord(c), dtype=np.uint32) for c in past]
         total = np.exp(model.logs(rows)[:, 0].astype(np.float64)).sum()
-        assert total + np.exp(model.base[0]) * 0 <= 1.0 + 1e-4 and total > 0.7
+        # all characters and the one that stands for unseen ones
+        assert total + np.exp(model.logs([np.array([1], dtype=np.uint32)] + [x[:1] for x in rows[1:]])[0, 0]) == pytest.approx(1.0, abs=1e-4)
 
 
 def test_characters_belong_to_their_text():
@@ -182,6 +246,35 @@ def test_toxicity_held_out(spark, documents):
     assert special[3000][0] == special[3001][0] == special[None][0] < 0.3
 
 
+def test_scores_do_not_depend_on_order(spark, documents):
+    """Copies of rows, several labels of an id, other columns: reordered and dealt anew, everything scores as before."""
+    rng = random.Random(29)
+    rows = [(i, insults(rng, i % 6 == 0)) for i in range(300)]
+    rows += [(400 + i, rows[i][1]) for i in range(60)] + [(400 + i, rows[i][1]) for i in range(20)]
+    marks = [(i, 1, int(i % 6 == 0)) for i in range(300)] + [(i, int(i % 2 == 0), i % 3 == 0) for i in range(60)] + [(400 + i, 1, int(i % 5 == 0)) for i in range(60)]
+    marks = [(i, int(q), int(t)) for i, q, t in marks]
+    out = []
+    for n in (1, 7):
+        rng.shuffle(rows)
+        rng.shuffle(marks)
+        df = documents(rows).repartition(n).selectExpr("*", "1 AS y", "2 AS key", "3 AS score", "'z' AS l_id", "4 AS id")
+        labels = spark.createDataFrame(marks, LABELS).repartition(n)
+        out.append([sorted((r.doc_id, round(r.score, 12)) for r in f(df, labels, odd() | (F.col("doc_id") % 4 == 0)).collect()) for f in (toxicity, quality)])
+    assert out[0] == out[1]
+
+
+def test_unlike_texts_of_one_id_are_judged_apart(spark, documents):
+    rng = random.Random(30)
+    rows = [(i, prose(rng, i % 5 < 3)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 < 3), 0) for i in range(400)], LABELS)
+    rows += [(None, prose(rng, True)), (None, "$$%% !! " * 40), (900, prose(rng, True)), (900, "ZZ!! " * 60)]
+    df = documents(rows).selectExpr("*", "1 AS row", "2 AS good", "3 AS __good")
+    kept = good_documents(df, labels, F.col("doc_id") < 400, least=0.5)
+    assert kept.columns == df.columns
+    assert sorted(r.text[:1].isalpha() and not r.text.startswith("ZZ") for r in kept.filter("doc_id IS NULL OR doc_id = 900").collect()) == [True, True]
+    assert good_documents(df.limit(0), labels, odd()).collect() == []
+
+
 def test_toxicity_without_labels(spark, documents):
     none = spark.createDataFrame([], LABELS)
     assert len({r.score for r in toxicity(documents([(1, "a"), (2, None)]), none, odd()).collect()}) == 1

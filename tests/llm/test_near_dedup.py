@@ -147,3 +147,13 @@ def test_components(spark):
                 seen.add(m)
                 todo.append(m)
         assert got.get(n, n) == min(seen)
+
+
+def test_text_ids_and_clashing_columns(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [("b", long), ("a", long), ("c", "something else entirely is written here today"), (None, long), ("d", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 AS row", "2 AS n", "3 AS __row", "4 AS each", "5 AS key")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup(df).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), None: ("a", False), "c": ("c", True), "d": ("d", True)}
+    kept = first_of_groups(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == ["a", "c", "d"]

@@ -33,9 +33,14 @@ def test_splitters_count_exactly(spark):
 
 def test_repeats_empty_and_clashes(documents):
     assert shard(documents([])).collect() == []
-    df = documents([(1, "a")] * 5 + [(2, "b")]).selectExpr("*", "7 AS slot", "'x' AS shard", "1 AS key")
+    df = documents([(1, "a")] * 5 + [(2, "b")]).selectExpr("*", "7 AS slot", "'x' AS shard", "1 AS key", "2 AS __key", "3 AS part", "4 AS __p", "5 AS first", "6 AS row")
     got = shard(df, shards=3).collect()
     assert len(got) == 6 and all(r.key == 1 for r in got)
     for s in {r.shard for r in got}:
         own = sorted(r.slot for r in got if r.shard == s)
         assert own == list(range(len(own)))
+
+
+def test_a_very_long_text(documents):
+    got = {r.doc_id: r.size for r in shard(documents([(1, "é" * 1_500_000), (2, "b"), (3, None)]), shards=2).collect()}
+    assert got == {1: 3_000_008, 2: 9, 3: 8}
