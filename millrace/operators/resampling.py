@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import effective_rent
-from millrace.operators.inference import assess
+from millrace.functions.scalars import effective_rent, wilson
+from millrace.operators.inference import C, T, assess, marginals, per_task, summarize_tasks
+from millrace.sources.registry import settled
 
 
 def uniform(*keys: Column | int) -> Column:
@@ -26,24 +27,78 @@ def kept(assessed: DataFrame, sessions: float = 20.0) -> DataFrame:
 
 
 def permutation_trials(pool: DataFrame, trials: int, runs: int = 2, seed: int = 1, cost: int = 25) -> DataFrame:
-    """Pools (task_id, tokens) shuffled in each trial and dealt to both sides: what is kept is kept by chance."""
-    dealt = pool.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("u", uniform(F.col("trial"), F.col("task_id"), F.col("row"), seed))
-    r = dealt.withColumn("run_no", F.row_number().over(Window.partitionBy("trial", "task_id").orderBy("u", "row"))).filter(F.col("run_no") <= 2 * runs)
+    """Pools (task_id, row, tokens) shuffled in each trial and dealt to both sides: what is kept is kept by chance."""
+    r = dealt(pool, trials, seed).filter(F.col("run_no") <= 2 * runs)
     return trial_runs(r, F.when(F.col("run_no") <= runs, "without").otherwise("with"), cost)
 
 
+def dealt(pool: DataFrame, trials: int, seed: int) -> DataFrame:
+    u = pool.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("u", uniform(F.col("trial"), F.col("task_id"), F.col("row"), seed))
+    return u.withColumn("run_no", F.row_number().over(Window.partitionBy("trial", "task_id").orderBy("u", "row")))
+
+
+def permutation_extra(pool: DataFrame, trials: int, runs: int = 2, seed: int = 1, cost: int = 25) -> DataFrame:
+    """A second pass of the side with for each trial: ``runs`` draws a task, with replacement, from what the first pass left over, or from the whole pool where that is fewer than two."""
+    left = dealt(pool, trials, seed).withColumn("rest", F.col("run_no") > 2 * runs).withColumn("spare", F.count_if("rest").over(Window.partitionBy("trial", "task_id")))
+    left = left.filter(F.col("rest") | (F.col("spare") < 2)).withColumn("i", F.row_number().over(Window.partitionBy("trial", "task_id").orderBy("u", "row")) - 1)
+    draws = left.groupBy("trial", "task_id").agg(F.count(F.lit(1)).alias("size")).withColumn("run_no", F.explode(F.sequence(F.lit(2 * runs + 1), F.lit(3 * runs))))
+    draws = draws.withColumn("i", F.floor(uniform(F.col("trial"), F.col("task_id"), F.col("run_no"), seed) * F.col("size")))
+    return trial_runs(draws.join(left.select("trial", "task_id", "i", "tokens"), ["trial", "task_id", "i"]), F.lit("with"), cost)
+
+
+def numbered(pool: DataFrame) -> DataFrame:
+    return pool.withColumn("i", F.row_number().over(Window.partitionBy("task_id").orderBy("row")) - 1)
+
+
+def drawn(pool: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """``wanted`` (trial, task_id, run_no) with the tokens of a draw each."""
+    sized = numbered(pool)
+    sizes = sized.groupBy("task_id").agg(F.count(F.lit(1)).alias("size"))
+    draws = wanted.join(sizes, "task_id").withColumn("i", F.floor(uniform(F.col("trial"), F.col("task_id"), F.col("run_no"), seed) * F.col("size")))
+    return draws.join(sized.select("task_id", "i", "tokens"), ["task_id", "i"])
+
+
 def bootstrap_trials(pool: DataFrame, trials: int, runs: int = 2, saving: float = 0.0, seed: int = 2, cost: int = 25) -> DataFrame:
     """Draws with replacement for both sides, with ``saving`` tokens taken off one (not below 0)."""
-    sized = pool.withColumn("i", F.row_number().over(Window.partitionBy("task_id").orderBy("row")) - 1)
-    sizes = sized.groupBy("task_id").agg(F.count(F.lit(1)).alias("size"))
-    draws = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("run_no", F.explode(F.sequence(F.lit(1), F.lit(2 * runs))))
-    draws = draws.withColumn("i", F.floor(uniform(F.col("trial"), F.col("task_id"), F.col("run_no"), seed) * F.col("size")))
-    r = draws.join(sized.select("task_id", "i", "tokens"), ["task_id", "i"])
+    tasks = pool.select("task_id").distinct()
+    wanted = tasks.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("run_no", F.explode(F.sequence(F.lit(1), F.lit(2 * runs))))
     with_side = F.col("run_no") > runs
-    r = r.withColumn("tokens", F.when(with_side, F.greatest(F.lit(0.0), F.col("tokens") - saving)).otherwise(F.col("tokens")))
+    r = drawn(pool, wanted, seed).withColumn("tokens", F.when(with_side, F.greatest(F.lit(0.0), F.col("tokens") - saving)).otherwise(F.col("tokens")))
     return trial_runs(r, F.when(with_side, "with").otherwise("without"), cost)
 
 
+def bootstrap_extra(pool: DataFrame, first: DataFrame, runs: int = 2, saving: float = 0.0, seed: int = 2, cost: int = 25) -> DataFrame:
+    """A second pass of the side with for each trial: as many runs as it had, placed where they cut the variance most, or ``runs`` a task where no variance is known."""
+    budget = first.filter("side = 'with'").groupBy(C).agg(F.count(F.lit(1)).alias("size"))
+    most = first.filter("side = 'with'").select(T).distinct().count() * runs
+    tasks = per_task(summarize_tasks(first)).filter("used")
+    placed = marginals(tasks, "xw", max(most, 1)).join(budget, C).filter(F.col("r") <= F.col("size")).groupBy(C, T).agg(F.count(F.lit(1)).cast("int").alias("add"))
+    every = first.select(C, T).distinct().join(placed.select(C).distinct(), C, "left_anti").withColumn("add", F.lit(runs))
+    wanted = placed.unionByName(every).select(F.col(C).alias("trial"), F.col(T).alias("task_id"), F.explode(F.sequence(F.lit(2 * runs + 1), F.lit(2 * runs) + F.col("add"))).alias("run_no"))
+    r = drawn(pool, wanted, seed).withColumn("tokens", F.greatest(F.lit(0.0), F.col("tokens") - saving))
+    return trial_runs(r, F.lit("with"), cost)
+
+
+def topped_up_rate(first: DataFrame, extra: DataFrame, z: float = 2.0) -> DataFrame:
+    """kept, trials, rate and its interval, where a trial that the first pass leaves uncertain is judged again with its second pass. What regressed, or failed by its environment, isn't kept."""
+    once = settled(kept(assess(first, z)).select(C, "kept", "uncertain", "regression", "environment_failure"), "trials")
+    open_ = once.filter("uncertain AND NOT regression AND NOT environment_failure").select(C)
+    again = kept(assess(first.unionByName(extra).join(open_, C, "left_semi"), z)).select(C, F.col("kept").alias("second"), F.col("environment_failure").alias("failed"))
+    j = once.join(again, C, "left").select(F.coalesce(F.col("second") & ~F.col("failed"), F.col("kept") & ~F.col("environment_failure")).alias("kept"), F.col("second").isNotNull().alias("topped_up"))
+    g = j.agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("trials"), F.count_if("topped_up").alias("topped_up"))
+    return g.withColumn("w", wilson("kept", "trials")).select("kept", "trials", "topped_up", (F.col("kept") / F.col("trials")).alias("rate"), "w.low", "w.high")
+
+
+def harness_report(pool: DataFrame, trials: int, savings: tuple[float, ...] = (0.0,), runs: int = 2, cost: int = 25, z: float = 2.0) -> DataFrame:
+    """method, saving, kept, trials, rate, low, high: how often a rule is kept that saves nothing (permutation, bootstrap) or a known amount (bootstrap)."""
+    first = permutation_trials(pool, trials, runs, cost=cost)
+    out = topped_up_rate(first, permutation_extra(pool, trials, runs, cost=cost), z).select(F.lit("permutation").alias("method"), F.lit(0.0).alias("saving"), "*")
+    for s in savings:
+        first = settled(bootstrap_trials(pool, trials, runs, s, cost=cost), "trials")
+        out = out.unionByName(topped_up_rate(first, bootstrap_extra(pool, first, runs, s, cost=cost), z).select(F.lit("bootstrap").alias("method"), F.lit(float(s)).alias("saving"), "*"))
+    return out
+
+
 def trial_runs(r: DataFrame, side: Column, cost: int) -> DataFrame:
     return r.select(F.col("trial").alias("comparison_id"), side.alias("side"), "task_id", "run_no", F.col("tokens").cast("double").alias("tokens"), F.lit(True).alias("completed"), F.lit(1.0).alias("weight"), F.lit(cost).alias("context_cost"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import DEFAULT_SESSIONS, half_up, verdict, verdict_reason
-from millrace.operators.inference import C, T, assess, pass_guard, per_task, retention_rounds, side_totals, summarize_tasks, top_up
+from millrace.operators.inference import C, T, assess, marginals, pass_guard, per_task, retention_rounds, side_totals, summarize_tasks, top_up
 from millrace.sources.registry import settled
 
 AUDIT, CANDIDATE = "re-audit", "candidate"
@@ -85,12 +85,7 @@ def measured(runs: DataFrame, reserve: DataFrame, kinds: DataFrame, z: float = 2
 
 def allocated(tasks: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """Runs to add by task, as many in all as ``sizes`` says for the comparison."""
-    from millrace.operators.inference import variance
-
-    steps = tasks.withColumn("v", F.col("weight") * F.col("weight") * variance(F.col("x"))).filter("v > 0").select(C, T, "v", F.size("x").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("j"))
-    gain = steps.withColumn("gain", F.col("v") / ((F.col("n") + F.col("j")) * (F.col("n") + F.col("j") + 1)))
-    best = gain.withColumn("r", F.row_number().over(Window.partitionBy(C).orderBy(F.desc("gain"), T, "j"))).join(sizes, C).filter(F.col("r") <= F.col("size"))
-    return best.groupBy(C, T).agg(F.count(F.lit(1)).alias("add"))
+    return marginals(tasks, "x", most).join(sizes, C).filter(F.col("r") <= F.col("size")).groupBy(C, T).agg(F.count(F.lit(1)).alias("add"))
 
 
 def decide(assessed: DataFrame, kinds: DataFrame, sessions: float = DEFAULT_SESSIONS) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ANTONYMS, content_words, directive_lines, is_negated, trigrams, words
+from millrace.functions.scalars import estimate_tokens
+from millrace.functions.text import ANTONYMS, compress_budget, content_words, directive_lines, is_negated, parsed_rewrite, too_short_to_compress, trigrams, words
 from millrace.sources.registry import settled
 
 
@@ -121,3 +122,29 @@ def contradictions(rules: DataFrame, documents: DataFrame) -> DataFrame:
     )
     found = j.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("rule").agg(F.min_by(F.struct("at.*", "reason"), "at").alias("f"))
     return told.join(found, "rule").select("rule_id", "f.*")
+
+
+def compressed_rules(asked: DataFrame, rules: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Rewrites of rules (agent, rule_id, reply): the candidate row that each would add, or the reason why it is refused.
+
+    Refused, in this order: a rule that the agent doesn't have, one that isn't active, one whose half is shorter than any rule may be, a reply that is no valid rewrite, a
+    rewrite of over half the rule's length, and one that resembles a rule of the agent by over ``threshold`` (the smallest id is named). A candidate replaces the rule,
+    and its cost is that of its own body.
+    """
+    of = rules.select("agent", F.col("id").alias("rule_id"), "status", F.col("body").alias("old"), F.col("context_cost").alias("old_cost"), F.col("source_run"))
+    j = asked.join(of, ["agent", "rule_id"], "left").withColumn("body", parsed_rewrite("reply"))
+    # each rewrite meets the rules of its own agent that share a trigram, which any that resembles it does; short ones have few
+    new = j.select("agent", "rule_id", "body", trigrams("body").alias("g")).filter("body IS NOT NULL")
+    known = rules.select("agent", F.col("id").alias("like_id"), trigrams("body").alias("k"))
+    size = F.size("g")
+    lead = F.slice(F.array_sort("g"), 1, (size - F.ceil(size * threshold) + 1).cast("int"))
+    met = new.select("agent", "rule_id", F.explode(lead).alias("t")).join(known.select("agent", "like_id", F.explode("k").alias("t")), ["agent", "t"]).select("agent", "rule_id", "like_id").distinct()
+    both = F.size(F.array_intersect("g", "k"))
+    alike = met.join(new, ["agent", "rule_id"]).join(known, ["agent", "like_id"]).filter(both / (F.size("g") + F.size("k") - both) > threshold).groupBy("agent", "rule_id").agg(F.min("like_id").alias("like_id"))
+    reason = (
+        F.when(F.col("status").isNull(), "no such rule").when(F.col("status") != "active", F.concat(F.lit("rule is "), F.col("status"))).when(too_short_to_compress("old"), "too short to compress")
+        .when(F.col("body").isNull(), "invalid rewrite").when(F.length("body") > compress_budget("old"), "not within half of the original").when(F.col("like_id").isNotNull(), F.concat(F.lit("near-duplicate of rule "), F.col("like_id").cast("string")))
+    )
+    return j.join(alike, ["agent", "rule_id"], "left").withColumn("reason", reason).select(
+        "agent", "rule_id", "reason", *[F.when(F.col("reason").isNull(), x).alias(n) for n, x in (("body", F.col("body")), ("context_cost", estimate_tokens("body")), ("replaces", F.col("rule_id")), ("source_run", F.col("source_run")))]
+    )

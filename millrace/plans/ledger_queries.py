@@ -530,21 +530,73 @@ def between_task_error(t):
 
 @query(
     "measures",
-    sql=f"""WITH {TASKS}, g AS (SELECT comparison_id, task_id, w * w * vw / ((nw + i) * (nw + i + 1)) AS gain, i FROM j, range(0, 6) x (i) WHERE vw > 0),
+    sql=f"""WITH {TASKS}, pw AS (SELECT comparison_id, sum(vw * (nw - 1)) / sum(nw - 1) FILTER (nw > 1) AS pooled FROM j GROUP BY comparison_id),
+    g AS (SELECT comparison_id, task_id, w * w * coalesce(vw, pooled) / ((nw + i) * (nw + i + 1)) AS gain, i FROM j JOIN pw USING (comparison_id), range(0, 6) x (i) WHERE coalesce(vw, pooled) > 0),
     r AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY comparison_id ORDER BY gain DESC, task_id, i) <= 6) SELECT comparison_id, task_id, count(*) AS add FROM r GROUP BY ALL""",
 )
 def top_up_runs(t):
     return inference.top_up(inference.per_task(inference.summarize_tasks(t["measures"])).filter("used"), 6)
 
 
+BOTH = """s AS (SELECT comparison_id, side, task_id, coalesce(avg(tokens) FILTER (completed), 0) AS p, coalesce(avg(tokens + cache_read) FILTER (completed), 0) AS t, coalesce(avg(cache_read) FILTER (completed), 0) AS c, count(*) FILTER (completed) AS n, count(*) AS runs,
+      CAST(floor(avg(duration_ms) FILTER (completed) + 0.5) AS BIGINT) AS d, bool_and(NOT completed AND tokens < 1000) AS env FROM measures GROUP BY ALL),
+    x AS (SELECT b.comparison_id, b.task_id, b.runs, b.p AS bp, s.p, b.t AS bt, s.t, b.c AS bc, s.c, b.n AS bn, s.n, b.d AS bd, s.d, s.env FROM s b JOIN s ON s.comparison_id = b.comparison_id AND s.task_id = b.task_id AND b.side = 'without' AND s.side = 'with')"""
+PCT = "CASE WHEN {b} = 0 THEN 'n/a' ELSE (CASE WHEN {c} > {b} THEN '+' ELSE '' END) || printf('%.1f%%', ({c} - {b}) * 100.0 / {b}) END"
+
+
+@query(
+    "measures",
+    sql=f"""WITH {BOTH} SELECT comparison_id, task_id, runs, round(bp, 6) AS base_processing, round(p, 6) AS processing, round(bt, 6) AS base_total, round(t, 6) AS total, round(bc, 6) AS base_cache_read, round(c, 6) AS cache_read,
+    bn AS base_completed, n AS completed, bd AS base_duration, d AS duration, {PCT.format(b='bp', c='p')} AS change, bn > 0 AND n > 0 AS comparable, bn > 0 AND n = 0 AND NOT env AS regressed, bn > 0 AND n = 0 AND env AS env_failed FROM x""",
+)
+def comparison_tasks(t):
+    return rounded(inference.comparison_tasks(t["measures"]), "base_processing", "processing", "base_total", "total", "base_cache_read", "cache_read")
+
+
+COMPARED = f"""{BOTH}, y AS (SELECT comparison_id, avg(bp) FILTER (bn > 0 AND n > 0) AS bm, avg(p) FILTER (bn > 0 AND n > 0) AS m, sum(bn) AS bn, sum(n) AS n, CAST(floor(avg(bd) + 0.5) AS BIGINT) AS bd, CAST(floor(avg(d) + 0.5) AS BIGINT) AS d,
+    bool_or(bn > 0 AND n = 0 AND NOT env) AS reg, bool_or(bn > 0 AND n = 0 AND env) AS dead FROM x GROUP BY comparison_id)"""
+
+
 @query(
     "measures",
-    sql=f"""WITH {TASKS}, s AS (SELECT comparison_id, sum(floor(o.mean)) AS b, sum(floor(w.mean)) AS c, sum(o.n) AS bc, sum(w.n) AS cc FROM m o JOIN m w USING (comparison_id, task_id) WHERE o.side = 'without' AND w.side = 'with' AND o.n > 0 AND w.n > 0 GROUP BY comparison_id)
-    SELECT comparison_id, CAST(b AS BIGINT) AS base_tokens, CAST(c AS BIGINT) AS tokens, CAST(bc AS BIGINT) AS base_completed, CAST(cc AS BIGINT) AS completed, round((c - b) * 100.0 / b, 6) AS pct FROM s""",
+    sql=f"WITH {COMPARED} SELECT comparison_id, {PCT.format(b='coalesce(bm, 0)', c='coalesce(m, 0)')} AS change, CAST(bn AS BIGINT) AS base_completed, CAST(n AS BIGINT) AS completed, bd AS base_duration, d AS duration, reg AS regression FROM y",
 )
 def compare_configs(t):
-    c = inference.compare_configs(t["measures"])
-    return rounded(c.select("comparison_id", "base_tokens", "tokens", "base_completed", "completed", "pct"), "pct")
+    return inference.compare_configs(t["measures"]).select("comparison_id", "change", "base_completed", "completed", "base_duration", "duration", "regression")
+
+
+@query("measures", sql=f"WITH {COMPARED} SELECT comparison_id, CASE WHEN reg THEN 'regressed' WHEN dead THEN 'no verdict' ELSE 'none' END AS status, CASE WHEN (SELECT bool_or(reg) FROM y) THEN 'unsafe' WHEN (SELECT bool_or(dead) FROM y) THEN 'unproven' ELSE 'safe' END AS safety FROM y")
+def category_regressions(t):
+    return inference.category_regressions(inference.compare_configs(t["measures"])).drop("tasks")
+
+
+@query(
+    "runs",
+    sql=f"""WITH own AS (SELECT agent, CASE WHEN agent < 'f' THEN 'opus' ELSE 'haiku' END AS own FROM runs GROUP BY agent),
+    r AS (SELECT r.agent, task_hash, CASE WHEN model = 'haiku' THEN 'with' ELSE 'without' END AS side, input_tokens + output_tokens + cache_creation AS p, completed FROM runs r JOIN own ON own.agent = r.agent AND own <> 'haiku' WHERE task_hash IS NOT NULL AND (model = 'haiku' OR model = own))
+    SELECT agent AS comparison_id, side, count(*) AS runs, count(*) FILTER (completed) AS completed, CAST(sum(p) AS BIGINT) AS tokens FROM r GROUP BY agent, side""",
+)
+def model_sweep(t):
+    own = t["runs"].select("agent").distinct().withColumn("model", F.when(F.col("agent") < "f", "opus").otherwise("haiku"))
+    return inference.model_sides(t["runs"], "haiku", own).groupBy("comparison_id", "side").agg(F.count(F.lit(1)).alias("runs"), F.count_if("completed").alias("completed"), F.sum("tokens").alias("tokens"))
+
+
+@query(
+    "runs",
+    sql=f"""WITH b AS (SELECT agent, task_hash AS task_id, arg_min({TOTAL}, (ts, id)) AS run1_tokens, min({TOTAL}) AS best_tokens FROM runs WHERE {PLAIN} GROUP BY ALL),
+    p AS (SELECT agent, task_hash AS task_id, coalesce(CAST(floor(avg({TOTAL}) FILTER (completed) + 0.5) AS BIGINT), 0) AS mean_tokens, CAST(sum({TOTAL}) AS BIGINT) AS spent FROM runs WHERE task_hash IS NOT NULL AND config = 'candidate' GROUP BY ALL)
+    SELECT agent, task_id, mean_tokens, spent, run1_tokens, best_tokens, CASE WHEN run1_tokens IS NULL THEN 'no baseline (no completed run yet)' WHEN run1_tokens = 0 OR mean_tokens = 0 THEN 'n/a'
+      ELSE CASE WHEN mean_tokens >= run1_tokens THEN '+' ELSE '' END || printf('%.1f%%', (mean_tokens - run1_tokens) * 100.0 / run1_tokens) END AS change FROM p LEFT JOIN b USING (agent, task_id)""",
+)
+def bench_notes(t):
+    passes = t["runs"].filter("task_hash IS NOT NULL AND config = 'candidate'").select("agent", F.col("task_hash").alias("task_id"), S.total_tokens().alias("tokens"), "completed")
+    return inference.bench_report(passes, ledger.baselines(t["runs"]))
+
+
+@query("rules", sql="SELECT id, agent, status, protected, context_cost FROM rules UNION ALL SELECT (SELECT max(id) FROM rules) + row_number() OVER (ORDER BY agent, body), agent, 'candidate', false, 7 FROM (SELECT DISTINCT agent, 'new body of ' || status AS body FROM rules)")
+def inserted_rules(t):
+    new = t["rules"].select("agent", F.concat(F.lit("new body of "), "status").alias("body")).distinct().withColumns({"context_cost": F.lit(7), "created_at": F.lit("2024-01-01")})
+    return ledger.inserted_rules(t["rules"], new).select("id", "agent", "status", "protected", "context_cost")
 
 
 @query("measures", sql="SELECT comparison_id, side, CAST(floor(avg(tokens) FILTER (completed) + 0.5) AS BIGINT) AS tokens, count(DISTINCT task_id) AS tasks, count(DISTINCT task_id) FILTER (completed) AS passed FROM measures GROUP BY ALL")

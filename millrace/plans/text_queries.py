@@ -300,15 +300,46 @@ def pool(t) -> DataFrame:
 
 @query("runs")
 def permutation_rate(t):
-    """Hash-seeded trials; tests check reruns and bounds."""
-    return resampling.keep_rate(resampling.permutation_trials(pool(t), 4000))
+    """Hash-seeded trials with their second pass; tests check reruns and bounds."""
+    return resampling.topped_up_rate(resampling.permutation_trials(pool(t), 4000), resampling.permutation_extra(pool(t), 4000))
 
 
 @query("runs")
 def bootstrap_rate(t):
-    return resampling.keep_rate(resampling.bootstrap_trials(pool(t), 4000, saving=200.0))
+    first = settled(resampling.bootstrap_trials(pool(t), 4000, saving=200.0), "trials")
+    return resampling.topped_up_rate(first, resampling.bootstrap_extra(pool(t), first, saving=200.0))
 
 
 @query("runs", sql=f"SELECT task_hash AS task_id, count(*) AS n, CAST(sum({TOTAL}) AS BIGINT) AS tokens FROM runs WHERE task_hash IS NOT NULL AND completed AND config = 'active' GROUP BY task_hash")
 def resampling_pool(t):
     return pool(t).groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+
+
+COMPRESS = r"""a AS (SELECT agent, id AS rule_id, CASE id % 4 WHEN 0 THEN 'no json' WHEN 1 THEN substr(body, 1, 12) WHEN 2 THEN body ELSE 'keep it short' END AS reply, body, status FROM rules)"""
+
+
+@query(
+    "rules",
+    sql=f"""WITH {COMPRESS} SELECT agent, rule_id, CASE WHEN status <> 'active' THEN 'rule is ' || status WHEN length(body) // 2 < 10 THEN 'too short to compress' WHEN rule_id % 4 = 0 THEN 'invalid rewrite'
+    WHEN length(reply) > length(body) // 2 THEN 'not within half of the original' END AS reason, CASE WHEN status = 'active' AND length(body) // 2 >= 10 AND rule_id % 4 <> 0 AND length(reply) <= length(body) // 2 THEN CAST(ceil(length(reply) / 4.0) AS BIGINT) END AS context_cost FROM a""",
+)
+def compressed_rules(t):
+    i = F.col("id") % 4
+    reply = F.when(i == 0, "no json").otherwise(F.to_json(F.struct(F.when(i == 1, F.substring("body", 1, 12)).when(i == 2, F.col("body")).otherwise("keep it short").alias("body"))))
+    return similarity.compressed_rules(t["rules"].select("agent", F.col("id").alias("rule_id"), reply.alias("reply")), t["rules"]).select("agent", "rule_id", "reason", "context_cost")
+
+
+@query(
+    "conversations",
+    sql="""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'not an envelope' WHEN 1 THEN NULL WHEN 2 THEN 'value-not-in-quote' ELSE 'unknown-chunk' END AS reason FROM conversations WHERE length(trim(text)) > 0 AND strpos(text, '42') = 0""",
+)
+def grounded_facts(t):
+    """Replies that quote their turn: one writes the value, one doesn't, one names another chunk, one is no envelope."""
+    c = t["conversations"].filter("length(trim(text)) > 0 AND NOT contains(text, '42')")
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    i = F.col("turn") % 4
+    fact = F.struct(F.lit("m").alias("metric"), F.lit(42.0).alias("value"), F.when(i == 3, F.lit("none")).otherwise(key).alias("chunkId"), F.when(i == 2, F.col("text")).otherwise(F.concat("text", F.lit(" 42.0"))).alias("quote"))
+    said = F.when(i == 0, "plain words").otherwise(F.to_json(F.struct(F.lit("result").alias("type"), F.lit(False).alias("is_error"), F.to_json(F.array(fact)).alias("result"))))
+    chunks = c.select(key.alias("chunk_id"), F.concat("text", F.lit(" 42.0")).alias("text"))
+    got = retrieval.grounded_facts(c.select(F.struct("conv_id", "turn").alias("reply_id"), said.alias("stdout")), chunks)
+    return got.select("reply_id.conv_id", "reply_id.turn", "reason")

@@ -43,7 +43,7 @@ FROM orders
 """
 MEASURES = """
 SELECT agent AS comparison_id, CASE WHEN id % 2 = 0 THEN 'without' ELSE 'with' END AS side, task_hash AS task_id, id AS run_no, input_tokens + output_tokens + cache_creation AS tokens,
-  completed, CASE WHEN task_hash IN ('t1', 't4') THEN 4.0E0 ELSE 1.0E0 END AS weight, 25 AS context_cost
+  completed, CASE WHEN task_hash IN ('t1', 't4') THEN 4.0E0 ELSE 1.0E0 END AS weight, 25 AS context_cost, cache_read, duration_ms
 FROM runs WHERE task_hash IS NOT NULL
 """
 STAFF = """

@@ -19,6 +19,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("session_key", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
+def stream_lines(spark: SparkSession, path: str) -> DataFrame:
+    """session_key, line_no, value like ``read_lines``, for files of any size: each is read in splits.
+
+    Lines of a split are numbered where they are read, and the splits of a file by the numbers of lines in those before, a row a split.
+    """
+    raw = spark.read.text(path, recursiveFileLookup=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.jsonl)?$", 1).alias("session_key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value",
+    )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("under", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return raw.join(splits, ["file", "block"]).select("session_key", (F.col("under") + F.col("at") - F.col("first")).alias("line_no"), "value")
+
+
 def entries(lines: DataFrame) -> DataFrame:
     """Lines (session_key, line_no, value) with v (VARIANT; null where malformed) and their fields. Blank lines are left out."""
     text = F.when(F.col("line_no") == 0, F.regexp_replace("value", r"^\x{feff}", "")).otherwise(F.col("value"))

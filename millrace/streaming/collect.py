@@ -84,3 +84,25 @@ def windowed_usage(stream: DataFrame, width: str = "1 day", late: str = "1 hour"
 def first_results(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Tool results (key, ts, ...) without repeats: the first of a key counts."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["key"])
+
+
+def approvals(stream: DataFrame) -> DataFrame:
+    """For events (from_agent, to_agent, body, seq, id, answered): the question that each answer approves, the latest pending one of its kind.
+
+    An event with an id asks; one that is answered approves. State is the pending ids of a kind; an answer without a pending question approves nothing.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for r in rows.itertuples():
+            if not r.answered:
+                pending.append(int(r.id))
+            elif pending:
+                out.append((*key, pending.pop(pending.index(max(pending)))))
+        state.update((pending,))
+        yield pd.DataFrame(out, columns=["from_agent", "to_agent", "body", "id"])
+
+    schema = "from_agent string, to_agent string, body string, id long"
+    return stream.groupBy("from_agent", "to_agent", "body").applyInPandasWithState(step, schema, "pending array<long>", "append", GroupStateTimeout.NoTimeout)
