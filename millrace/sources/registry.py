@@ -13,6 +13,7 @@ from millrace.schemas import TABLES, empty, migrated
 def session(name: str = "millrace", **conf: str) -> SparkSession:
     """A session with the settings that results depend on."""
     b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    b = b.config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of Column expressions cost seconds in long plans
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
