@@ -1,3 +1,4 @@
+import json
 import random
 import re
 from collections import Counter
@@ -477,3 +478,42 @@ def test_shared_files(spark):
     scoped = ledger_files.compiled_memory(rules.withColumn("scope", F.when(F.col("id") == 1, "in\nsql")))
     assert "- (when in sql) read once only\n- skip bells\n" in scoped.first().content
     assert ledger_files.drifted(rules, memory).collect() == [] and ledger_files.drifted(rules, memory.limit(0)).count() == 1
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Files read in splits give the lines of files read whole."""
+    rng = random.Random(9)
+    for f in range(3):
+        (tmp_path / f"s{f}.jsonl").write_text("".join(f'{{"n": {i}, "x": "{"y" * rng.randint(0, 90)}"}}\n' for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        split = transcripts.stream_lines(spark, str(tmp_path))
+        assert split.rdd.getNumPartitions() > 6
+        got = {(r.session_key, r.line_no): r.value for r in split.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(r.session_key, r.line_no): r.value for r in transcripts.read_lines(spark, str(tmp_path)).filter("value <> ''").collect()} and len(got) == 1200
+
+
+def test_grounded_replies_and_compression(spark):
+    chunks = spark.createDataFrame([("c1", "Sales were 5.0 up")], "chunk_id string, text string")
+    fact = '{"metric":"m","value":5.0,"chunkId":"c1","quote":"sales were 5.0"}'
+    wrap = lambda body: json.dumps({"type": "result", "is_error": False, "result": body})
+    replies = [(1, wrap(f"```json\n[{fact}, {{}}]\n```")), (2, wrap("words")), (3, "no envelope"), (4, wrap("[]"))]
+    got = sorted((r.reply_id, r.metric or "", r.reason or "", r.malformed) for r in retrieval.grounded_facts(spark.createDataFrame(replies, "reply_id int, stdout string"), chunks).collect())
+    assert got == [(1, "m", "", 1), (2, "", "not a list of facts", 0), (3, "", "not an envelope", 0), (4, "", "", 0)]
+    rules = spark.createDataFrame([(1, "a", "always read the whole file before any edit", "active", 0, 11, 5), (2, "a", "old rule body here", "evicted", 0, 5, None), (3, "a", "read file, then edit", "active", 0, 5, None)], RULE + ", source_run long")
+    body = lambda b: json.dumps({"body": b})
+    asked = [("a", 1, body("read before edits")), ("a", 2, body("read before edits")), ("b", 1, body("read before edits")), ("a", 3, "x")]
+    new = {(r.agent, r.rule_id): (r.reason, r.body, r.context_cost, r.replaces, r.source_run) for r in similarity.compressed_rules(spark.createDataFrame(asked, "agent string, rule_id long, reply string"), rules).collect()}
+    assert new == {("a", 1): (None, "read before edits", 5, 1, 5), ("a", 2): ("rule is evicted",) + (None,) * 4, ("b", 1): ("no such rule",) + (None,) * 4, ("a", 3): ("invalid rewrite",) + (None,) * 4}
+    alike = similarity.compressed_rules(spark.createDataFrame([("a", 1, body("read file then edit"))], "agent string, rule_id long, reply string"), rules).first()
+    assert alike.reason == "near-duplicate of rule 3"
+
+
+def test_comparison_is_topped_up_once(spark):
+    rows = [("c", s, f"t{i}", n, 1000 + 700 * ((i + n) % 3) - 30 * (s == "with"), True, 1) for i in range(3) for s in ("without", "with") for n in range(2)] + [("d", s, f"t{i}", n, 9000 - 5000 * (s == "with"), True, 1) for i in range(2) for s in ("without", "with") for n in range(2)]
+    df = measures(spark, rows).withColumns({"cache_read": F.lit(10), "duration_ms": F.lit(500)})
+    got = {r.comparison_id: (r.topped_up, r.tokens_spent) for r in inference.run_comparison(df, df.withColumn("run_no", F.col("run_no") + 10)).collect()}
+    spent = {k: sum(r[4] + 10 for r in rows if r[0] == k) for k in "cd"}
+    assert got == {"c": (True, 2 * spent["c"]), "d": (False, spent["d"])}

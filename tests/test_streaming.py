@@ -44,3 +44,16 @@ def test_ledger_tables(spark, tmp_path):
     save_table(empty(spark, "questions").union(spark.sql("SELECT 1L, 'a', 'b', 'q', 1, current_timestamp()")), str(tmp_path), "questions")
     assert open_ledger(spark, str(tmp_path))["questions"].count() == 1
     assert spark.table("questions").filter(F.col("approved") == 1).count() == 1
+
+
+def test_approvals_across_batches(spark, tmp_path):
+    """An answer approves the latest pending question of its kind, also one of a batch before; the next answer the one before it."""
+    names = "from_agent string, to_agent string, body string, seq long, id long, answered boolean"
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    got = []
+    for k, rows in enumerate(([("a", "b", "q", 1, 1, False), ("a", "b", "q", 2, 2, False), ("a", "c", "q", 3, 3, False)], [("a", "b", "q", 4, None, True), ("a", "b", "q", 5, None, True), ("a", "b", "q", 6, None, True), ("x", "y", "z", 7, None, True)])):
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(src)
+        q = collect.approvals(spark.readStream.schema(names).parquet(src)).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", out).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got.append(sorted(r.id for r in spark.read.schema("from_agent string, to_agent string, body string, id long").parquet(out).collect()))
+    assert got == [[], [1, 2]]
