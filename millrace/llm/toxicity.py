@@ -23,6 +23,8 @@ from .quality import isotonic
 from .secret_scan import lots
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters with digits or signs between or before them, as in a word spelled with other characters.
+MASKED = re.compile(r"(?<![\w@$!*|+])[^\W\d_]*+(?:[\d_@$!*|+]++[^\W\d_]++)++")
 STEMS = (4, 5, 6, 7, 8)
 OPEN, CLOSE = "\"“«„‘(", "\"”»“’)"
 #: Fixed: words that report speech, in the languages of the labels.
@@ -145,22 +147,29 @@ class Scanner:
         return any(w in REPORTING for w in WORD.findall(before)[-4:])
 
     def hits(self, text: str) -> tuple[int, list[tuple[str, int, int, int, int, bool]]]:
-        """(number of words, [(word, start, end, term, edits, quoted)] in order), words lowered."""
+        """(number of words, [(word, start, end, term, edits, quoted)] in order), words lowered.
+
+        Letters joined by digits or signs are matched as one word too, each such character an edit, unless a run of letters in them is a hit.
+        """
         low = text.lower()
         if len(low) != len(text):  # a few letters grow when lowered
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         known, all_ = self.known, WORD.findall(low)
+        masked = list(MASKED.finditer(low))
         if len(known) > self.most_words:
             known.clear()
         wanted = {}
-        for w in set(all_):
+        for w in {*all_, *(m[0] for m in masked)}:
             if w not in known:
                 known[w] = self.lexicon.match(w)
             if known[w]:
                 wanted[w] = known[w]
         if not wanted:
             return len(all_), []
-        return len(all_), [(m[0], m.start(), m.end(), *wanted[m[0]], self.quoted(low, *m.span())) for m in WORD.finditer(low) if m[0] in wanted]
+        spans = [m for m in WORD.finditer(low) if m[0] in wanted]
+        spans += [m for m in masked if m[0] in wanted and not any(w in wanted for w in WORD.findall(m[0]))]
+        spans.sort(key=lambda m: m.start())
+        return len(all_), [(m[0], m.start(), m.end(), *wanted[m[0]], self.quoted(low, *m.span())) for m in spans]
 
 
 def apart(rows: DataFrame) -> DataFrame:
