@@ -42,10 +42,9 @@ def splitters(keys: DataFrame, targets: list[float], within: list[float], probes
     for _ in range(rounds):
         if len(found) == len(targets):
             break
-        counts = keys.groupBy(below(tries)("key").alias("bin")).agg(F.sum("size").alias("b")).collect()
-        sums = [0] * (len(tries) + 1)
-        for r in counts:
-            sums[r["bin"]] = r["b"]
+        counts = keys.groupBy(below(tries)("key").alias("bin")).agg(F.sum("size").alias("b")).toArrow()
+        sums = np.zeros(len(tries) + 1, dtype=np.int64)
+        sums[counts["bin"].to_numpy()] = counts["b"].to_numpy()
         under = np.concatenate([[0], np.cumsum(sums)])  # under[i + 1]: bytes below tries[i]
         asked: set[int] = set()
         for j, target in enumerate(targets):
@@ -68,7 +67,7 @@ def splitters(keys: DataFrame, targets: list[float], within: list[float], probes
     return [found.get(j, spots[j][0]) for j in range(len(targets))]
 
 
-def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, most_parts: int = 512) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 64 << 20, most_parts: int = 4096) -> DataFrame:
     """The columns of ``docs``, then size, shard and slot: shards of nearly equal bytes.
 
     Law: bytes. A row counts the UTF-8 bytes of its text (null: none) plus 8. The key is 40 bits of the text's hash over 24 bits of the
