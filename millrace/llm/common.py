@@ -55,7 +55,10 @@ def word_count(text: Column) -> Column:
 
 def pressed(text: Column) -> Column:
     """Text without blanks; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
+    out = F.coalesce(text, F.lit(""))
+    for c in BLANKS:
+        out = F.replace(out, F.lit(c))
+    return out
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

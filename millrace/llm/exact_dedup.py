@@ -1,8 +1,8 @@
 """Exact deduplication by content sort.
 
 Normalised texts are range-partitioned by sampled splitters, sorted externally so that equals are adjacent, and told apart by
-comparing neighbouring texts in full. The sort key begins with a short stretch of the text and its digest, so splitters stay small
-and comparisons rarely reach the text itself; the text is the last part of the key, so the digest decides nothing alone.
+comparing neighbouring texts in full. The sort key begins with a short stretch of the text and its hash, so splitters stay small
+and comparisons rarely reach the text itself; the text is the last part of the key, so the hash decides nothing alone.
 """
 
 from __future__ import annotations
@@ -27,19 +27,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("id"),
         pressed(F.col(text_col)).alias("norm"),
         F.coalesce(F.length(text_col), F.lit(0)).alias("cp"),
-    ).select("id", "norm", "cp", F.sha2("norm", 256).alias("sha"))
+    ).select("id", "norm", "cp", F.xxhash64("norm").alias("hash"))
     least = max(hot_rows, docs.count() // hot_keys)
-    hot = keyed.groupBy("sha").count().filter(F.col("count") > least).select(F.col("sha").alias("hot_sha"), F.ceil(F.col("count") / least).cast("int").alias("parts"))
+    hot = keyed.groupBy("hash").count().filter(F.col("count") > least).select(F.col("hash").alias("hot_hash"), F.ceil(F.col("count") / least).cast("int").alias("parts"))
     dealt = (
-        keyed.join(F.broadcast(hot), F.col("sha") == F.col("hot_sha"), "left")
-        .select("id", "norm", "cp", "sha", F.coalesce("parts", F.lit(1)).alias("parts"))
+        keyed.join(F.broadcast(hot), F.col("hash") == F.col("hot_hash"), "left")
+        .select("id", "norm", "cp", "hash", F.coalesce("parts", F.lit(1)).alias("parts"))
         .select("*", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.substring("norm", 1, lead).alias("lead"))
-        .repartitionByRange("lead", "sha", "part")
+        .repartitionByRange("lead", "hash", "part")
     )
-    best = Window.partitionBy("lead", "sha", "part", "norm").orderBy(F.col("cp").desc(), F.col("id").asc_nulls_last())
+    best = Window.partitionBy("lead", "hash", "part", "norm").orderBy(F.col("cp").desc(), F.col("id").asc_nulls_last())
     group = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = dealt.select(
-        "id", "sha", "part", "parts", "norm",
+        "id", F.sha2("norm", 256).alias("sha"), "part", "parts", "norm",
         F.row_number().over(best).alias("nth"),
         F.first("id").over(group).alias("lead_id"),
         F.first("cp").over(group).alias("lead_cp"),
