@@ -5,6 +5,7 @@ Sessions re-send cumulative totals, so the last row of a session stands. Order i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.operators.ledger import upsert
-from millrace.schemas import TABLES, empty
-from millrace.sources.registry import exists, save_table
+from millrace.schemas import TABLES
+from millrace.sources.registry import log_of
 
 
 def run_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -24,13 +24,14 @@ def run_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keep_ledger(stream: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Upserts each batch into the ledger's runs. A batch that is written again gives the same table."""
+    """Appends each batch to the ledger's log of runs, in a folder of its own; ``open_ledger`` reads the log over the table.
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        at = f"{ledger.rstrip('/')}/runs"
-        old = spark.read.parquet(at) if exists(spark, at) else empty(spark, "runs")
-        save_table(upsert(old, batch, ["session_id"], [F.col("ts").desc(), F.col("id").desc()]), ledger, "runs")
+    A batch that is written again replaces its folder, so it gives the same ledger. ``fold_log`` moves the log into the table now and then.
+    """
+    log = f"{log_of(ledger, 'runs')}/stream={hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from millrace.schemas import empty
-from millrace.sources.registry import open_ledger, save_table
+from millrace.sources.registry import fold_log, open_ledger, save_table
 from millrace.streaming import collect
 
 
@@ -22,6 +22,14 @@ def test_ledger_stream(spark, tmp_path):
     collect.keep_ledger(collect.run_stream(spark, str(src)), ledger, check).awaitTermination(120)
     got = {r.session_id: r.input_tokens for r in open_ledger(spark, ledger)["runs"].collect()}
     assert got == {"s1": 9, "s2": 7}
+    fold_log(spark, ledger)
+    assert {r.session_id: r.input_tokens for r in spark.read.parquet(f"{ledger}/runs").collect()} == got
+    (src / "3.json").write_text(line(4, "s2", 8, "2023-01-01T00:00:00Z") + "\n")  # arrival counts, not the time it tells
+    collect.keep_ledger(collect.run_stream(spark, str(src)), ledger, check).awaitTermination(120)
+    assert {r.session_id: r.input_tokens for r in open_ledger(spark, ledger)["runs"].collect()} == {"s1": 9, "s2": 8}
+    fold_log(spark, ledger)
+    fold_log(spark, ledger)
+    assert {r.session_id: r.input_tokens for r in open_ledger(spark, ledger)["runs"].collect()} == {"s1": 9, "s2": 8}
 
 
 def test_stateful_triggers(spark, tmp_path):
