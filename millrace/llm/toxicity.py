@@ -24,6 +24,7 @@ from .secret_scan import lots
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters with digits or signs between or before them, as in a word spelled with other characters.
+SIGNED = re.compile(r"[\d_@$!*|+][^\W\d_]")
 MASKED = re.compile(r"(?<![\w@$!*|+])[^\W\d_]*+(?:[\d_@$!*|+]++[^\W\d_]++)++")
 STEMS = (4, 5, 6, 7, 8)
 OPEN, CLOSE = "\"“«„‘(", "\"”»“’)"
@@ -131,6 +132,18 @@ class Lexicon:
         return got
 
 
+def masked_words(low: str) -> Iterator[re.Match]:
+    """Matches of MASKED, looked for around the places where a letter follows a digit or sign."""
+    at = 0
+    while sign := SIGNED.search(low, at):
+        start = sign.start()
+        while start > at and (low[start - 1].isalnum() or low[start - 1] in "_@$!*|+"):
+            start -= 1
+        word = MASKED.match(low, start)
+        yield word
+        at = word.end()
+
+
 class Scanner:
     def __init__(self, terms: list[Term], window: int = 40, most_words: int = 300_000):
         self.lexicon, self.window, self.most_words = Lexicon(terms), window, most_words
@@ -155,7 +168,7 @@ class Scanner:
         if len(low) != len(text):  # a few letters grow when lowered
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         known, all_ = self.known, WORD.findall(low)
-        masked = list(MASKED.finditer(low))
+        masked = list(masked_words(low))
         if len(known) > self.most_words:
             known.clear()
         wanted = {}
