@@ -402,7 +402,7 @@ def rule_costs(t):
     from pyspark.sql import Window
 
     c = cost.agent_costs(t["rules"], t["receipts"], t["staff"])
-    pos = F.row_number().over(Window.partitionBy("agent").orderBy(F.desc("weekly"), F.col("delta").desc_nulls_last(), "rule_id")).cast("long")
+    pos = F.row_number().over(Window.partitionBy("agent").orderBy(F.desc("net"), F.col("delta").desc_nulls_last(), "rule_id")).cast("long")
     return c.select(
         "rule_id", "agent", "model", F.round("rent", 10).alias("rent"), F.round("saving", 8).alias("saving"), F.round("weekly", 6).alias("weekly"), F.round("discovery", 8).alias("discovery"), "break_even", pos.alias("pos")
     )
