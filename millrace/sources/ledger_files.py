@@ -49,18 +49,23 @@ def shared_files(rules: DataFrame, exported_at: str) -> DataFrame:
     return g.select("agent", F.concat(head, prose, F.lit(f"\n{MARKER}\n```json\n"), data, F.lit("\n```\n")).alias("content"))
 
 
-def parsed_file(content: str | Column) -> Column:
-    """The data of a shared file, null where it is too large, has no marker or doesn't parse."""
+def parsed_file(content: str | Column, most: int | None = MOST_CHARS) -> Column:
+    """The data of a shared file, null where it has over ``most`` characters (None: any number), has no marker or doesn't parse."""
     c = F.col(content) if isinstance(content, str) else content
     block = F.regexp_extract(F.substring_index(c, MARKER, -1), r"(?s)```json\s*\n(.*?)\n```", 1)
     data = F.from_json(block, SHARED)
-    return F.when((F.length(c) <= MOST_CHARS) & c.contains(MARKER) & data["rules"].isNotNull() & data["agent"].isNotNull(), data)
+    small = F.lit(True) if most is None else F.length(c) <= most
+    return F.when(small & c.contains(MARKER) & data["rules"].isNotNull() & data["agent"].isNotNull(), data)
 
 
-def verified_files(files: DataFrame) -> DataFrame:
-    """Files (path, content) with their number of rules, and whether the data parses and each body stands in the list above it."""
-    d = files.withColumn("d", parsed_file("content")).withColumn("prose", F.substring_index("content", MARKER, 1))
-    ok = F.col("d").isNotNull() & F.coalesce(F.forall("d.rules", lambda r: F.col("prose").contains(r["body"])), F.lit(False))
+def verified_files(files: DataFrame, most: int | None = MOST_CHARS) -> DataFrame:
+    """Files (path, content) with their number of rules, and whether the data parses and each body stands in the list above it.
+
+    Files that others wrote hold at most ``most`` characters; None takes any. Bodies that end a line of the list are found as a set, only others are looked for one by one.
+    """
+    d = files.withColumn("d", parsed_file("content", most)).withColumn("prose", F.substring_index("content", MARKER, 1))
+    bodies, ends = F.transform("d.rules", lambda r: r["body"]), F.transform(F.split("prose", "\n"), lambda x: F.regexp_replace(x, r"^- \*\*[^*]*\*\* \(rent [^)]*\): ", ""))
+    ok = F.col("d").isNotNull() & F.coalesce(F.forall(bodies, lambda b: b.isNotNull()) & F.forall(F.array_except(bodies, ends), lambda b: F.col("prose").contains(b)), F.lit(False))
     return d.select("path", F.coalesce(F.size("d.rules"), F.lit(0)).alias("rules"), ok.alias("valid"))
 
 

@@ -181,6 +181,15 @@ RULE = "id long, agent string, body string, status string, measured_delta long,
 RECEIPT = "rule_id long, agent string, status string, decided_no long, delta long, context_cost long, runs long, with_tokens long, without_tokens long, model string, regression boolean"
 
 
+def test_costs_rank_by_the_price_of_a_token(spark):
+    """55 tokens at 1e-6 and 11 at 5e-6 differ in their last bit, which decides the rank before the id does."""
+    rules = spark.createDataFrame([(1, "a", "x", "active", 0, 0), (2, "a", "y", "active", 0, 0)], RULE)
+    receipts = spark.createDataFrame([(k, "a", "active", 1, 0, n, 1, 9, 9, m, False) for k, n, m in ((1, 11, "opus"), (2, 55, "haiku"))], RECEIPT)
+    got = cost.agent_costs(rules, receipts, runs(spark, [run(1)])).collect()
+    want = {1: 11 * 5e-6, 2: 55 * 1e-6}
+    assert want[1] != want[2] and {r.rule_id: r.rent for r in got} == want and [r.rule_id for r in got] == sorted(want, key=want.get)
+
+
 def test_costs_by_hand(spark):
     """Two active rules of one agent; the mix is a million of each counter, the price of sonnet 3 and 15 dollars."""
     rules = spark.createDataFrame([(1, "a", "x", "active", 0, 0), (2, "a", "y", "active", 0, 0), (3, "a", "z", "evicted", 0, 0)], RULE)
@@ -480,6 +489,17 @@ def test_shared_files(spark):
     assert ledger_files.drifted(rules, memory).collect() == [] and ledger_files.drifted(rules, memory.limit(0)).count() == 1
 
 
+def test_long_shared_files_are_verified_whole(spark):
+    """A file of over a million characters, with a body that ends no line; the limit for files of others stays."""
+    body = F.concat(F.lpad(F.col("id").cast("string"), 4000, "x"), F.when(F.col("id") == 5, "\n): tail").otherwise(""))
+    rules = spark.range(300).select("id", F.lit("a").alias("agent"), body.alias("body"), F.lit("active").alias("status"), F.lit(1).cast("long").alias("measured_delta"), F.col("id").alias("context_cost"), F.lit(None).cast("long").alias("source_run"), F.lit("x").alias("created_at"))
+    files = ledger_files.shared_files(rules, "2024").select(F.col("agent").alias("path"), "content")
+    assert ledger_files.verified_files(files, most=None).first() == ("a", 300, True)
+    assert ledger_files.verified_files(files).first() == ("a", 0, False)
+    bad = files.withColumn("content", F.regexp_replace("content", r"rent 77\): x", "rent 77): y"))
+    assert not ledger_files.verified_files(bad, most=None).first().valid
+
+
 def test_lines_of_split_files(spark, tmp_path):
     """Files read in splits give the lines of files read whole."""
     rng = random.Random(9)
