@@ -133,18 +133,41 @@ def compressed_rules(asked: DataFrame, rules: DataFrame, threshold: float = 0.85
     """
     of = rules.select("agent", F.col("id").alias("rule_id"), "status", F.col("body").alias("old"), F.col("context_cost").alias("old_cost"), F.col("source_run"))
     j = asked.join(of, ["agent", "rule_id"], "left").withColumn("body", parsed_rewrite("reply"))
-    # each rewrite meets the rules of its own agent that share a trigram, which any that resembles it does; short ones have few
-    new = j.select("agent", "rule_id", "body", trigrams("body").alias("g")).filter("body IS NOT NULL")
-    known = rules.select("agent", F.col("id").alias("like_id"), trigrams("body").alias("k"))
-    size = F.size("g")
-    lead = F.slice(F.array_sort("g"), 1, (size - F.ceil(size * threshold) + 1).cast("int"))
-    met = new.select("agent", "rule_id", F.explode(lead).alias("t")).join(known.select("agent", "like_id", F.explode("k").alias("t")), ["agent", "t"]).select("agent", "rule_id", "like_id").distinct()
-    both = F.size(F.array_intersect("g", "k"))
-    alike = met.join(new, ["agent", "rule_id"]).join(known, ["agent", "like_id"]).filter(both / (F.size("g") + F.size("k") - both) > threshold).groupBy("agent", "rule_id").agg(F.min("like_id").alias("like_id"))
-    reason = (
+    early = (
         F.when(F.col("status").isNull(), "no such rule").when(F.col("status") != "active", F.concat(F.lit("rule is "), F.col("status"))).when(too_short_to_compress("old"), "too short to compress")
-        .when(F.col("body").isNull(), "invalid rewrite").when(F.length("body") > compress_budget("old"), "not within half of the original").when(F.col("like_id").isNotNull(), F.concat(F.lit("near-duplicate of rule "), F.col("like_id").cast("string")))
+        .when(F.col("body").isNull(), "invalid rewrite").when(F.length("body") > compress_budget("old"), "not within half of the original")
     )
+    # only rewrites that nothing else refuses meet the rules of their own agent, each distinct one once
+    j = j.withColumn("early", early)
+    new = settled(j.filter("early IS NULL").select("agent", "rule_id", trigrams("body").alias("g")).withColumn("c", gram_key(F.col("g"))), "rewrites")
+    known = rules.filter("body IS NOT NULL").select("agent", "id", trigrams("body").alias("g")).withColumn("c", gram_key(F.col("g"))).groupBy("agent", "c").agg(F.min("id").alias("like_id"), F.any_value("g").alias("g"))
+    met = resembling(new.groupBy("agent", "c").agg(F.any_value("g").alias("g")), known.select("agent", "like_id", "g"), threshold)
+    alike = new.select("agent", "rule_id", "c").join(met, ["agent", "c"]).select("agent", "rule_id", "like_id")
+    reason = F.coalesce("early", F.when(F.col("like_id").isNotNull(), F.concat(F.lit("near-duplicate of rule "), F.col("like_id").cast("string"))))
     return j.join(alike, ["agent", "rule_id"], "left").withColumn("reason", reason).select(
         "agent", "rule_id", "reason", *[F.when(F.col("reason").isNull(), x).alias(n) for n, x in (("body", F.col("body")), ("context_cost", estimate_tokens("body")), ("replaces", F.col("rule_id")), ("source_run", F.col("source_run")))]
     )
+
+
+def resembling(new: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """agent, c, like_id: for each set of grams (agent, c, g) the smallest id of the agent's known ones (agent, like_id, g) whose Jaccard exceeds ``threshold``, where one does; exact.
+
+    As in ``similar_pairs`` both are listed under their rarest grams, and pairs whose sizes or places rule it out aren't compared. Known sets of a size that resembles none of
+    the agent's new ones aren't listed.
+    """
+    new, known = new.withColumn("n", F.size("g")), known.withColumn("n", F.size("g"))
+    sizes = new.groupBy("agent").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    known = known.join(sizes, "agent").filter((F.col("n") >= F.col("low") * threshold - 1e-6) & (F.col("n") * threshold <= F.col("high") + 1e-6)).drop("low", "high").transform(settled)
+    freq = known.select("agent", F.explode("g").alias("t")).groupBy("agent", "t").agg(F.count(F.lit(1)).alias("f"))
+
+    def listed(sets: DataFrame, key: str, p: str) -> DataFrame:
+        order = Window.partitionBy("agent", key).orderBy(F.coalesce("f", F.lit(0)), "t")
+        rows = sets.select("agent", key, "n", F.explode("g").alias("t")).join(freq, ["agent", "t"], "left").withColumn("r", F.row_number().over(order))
+        return rows.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("agent", key, "t", F.col("n").alias(f"n{p}"), F.col("r").alias(f"r{p}"))
+
+    left = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    near = left * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6
+    pairs = listed(new, "c", "a").join(listed(known, "like_id", "b"), ["agent", "t"]).filter(near).select("agent", "c", "like_id").distinct()
+    full = pairs.join(new.select("agent", "c", F.col("g").alias("ga")), ["agent", "c"]).join(known.select("agent", "like_id", F.col("g").alias("gb")), ["agent", "like_id"])
+    both = F.size(F.array_intersect("ga", "gb"))
+    return full.filter(both / (F.size("ga") + F.size("gb") - both) > threshold).groupBy("agent", "c").agg(F.min("like_id").alias("like_id"))
