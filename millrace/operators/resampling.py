@@ -28,22 +28,33 @@ def kept(assessed: DataFrame, sessions: float = 20.0) -> DataFrame:
 
 def permutation_trials(pool: DataFrame, trials: int, runs: int = 2, seed: int = 1, cost: int = 25) -> DataFrame:
     """Pools (task_id, row, tokens) shuffled in each trial and dealt to both sides: what is kept is kept by chance."""
-    r = dealt(pool, trials, seed).filter(F.col("run_no") <= 2 * runs)
-    return trial_runs(r, F.when(F.col("run_no") <= runs, "without").otherwise("with"), cost)
+    d = dealt(pool, trials, 2 * runs, seed).select("trial", "task_id", F.posexplode("picks").alias("run_no", "i")).withColumn("run_no", F.col("run_no") + 1)
+    return trial_runs(d.join(numbered(pool).select("task_id", "i", "tokens"), ["task_id", "i"]), F.when(F.col("run_no") <= runs, "without").otherwise("with"), cost)
 
 
-def dealt(pool: DataFrame, trials: int, seed: int) -> DataFrame:
-    u = pool.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("u", uniform(F.col("trial"), F.col("task_id"), F.col("row"), seed))
-    return u.withColumn("run_no", F.row_number().over(Window.partitionBy("trial", "task_id").orderBy("u", "row")))
+def dealt(pool: DataFrame, trials: int, most: int, seed: int) -> DataFrame:
+    """trial, task_id, size, picks: the places (from 0, by row) of the first ``most`` runs of each trial's shuffle of the pool, in order.
+
+    A shuffle's first places are draws without replacement: the n-th is uniform over the places that those before it left. So a trial costs its draws, however large the pool.
+    """
+    sizes = pool.groupBy("task_id").agg(F.count(F.lit(1)).cast("int").alias("size")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    draw = lambda picks, n: F.concat(picks, F.array(unpicked(F.floor(uniform(F.col("trial"), F.col("task_id"), n, seed) * (F.col("size") - n + 1)).cast("int"), picks)))
+    picks = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(most), F.col("size"))), F.array().cast("array<int>"), draw)
+    return sizes.select("trial", "task_id", "size", picks.alias("picks"))
+
+
+def unpicked(i: Column, picks: Column) -> Column:
+    """The place of the i-th (from 0) that isn't among ``picks``."""
+    return F.aggregate(F.sort_array(picks), i, lambda at, p: F.when(at >= p, at + 1).otherwise(at))
 
 
 def permutation_extra(pool: DataFrame, trials: int, runs: int = 2, seed: int = 1, cost: int = 25) -> DataFrame:
     """A second pass of the side with for each trial: ``runs`` draws a task, with replacement, from what the first pass left over, or from the whole pool where that is fewer than two."""
-    left = dealt(pool, trials, seed).withColumn("rest", F.col("run_no") > 2 * runs).withColumn("spare", F.count_if("rest").over(Window.partitionBy("trial", "task_id")))
-    left = left.filter(F.col("rest") | (F.col("spare") < 2)).withColumn("i", F.row_number().over(Window.partitionBy("trial", "task_id").orderBy("u", "row")) - 1)
-    draws = left.groupBy("trial", "task_id").agg(F.count(F.lit(1)).alias("size")).withColumn("run_no", F.explode(F.sequence(F.lit(2 * runs + 1), F.lit(3 * runs))))
-    draws = draws.withColumn("i", F.floor(uniform(F.col("trial"), F.col("task_id"), F.col("run_no"), seed) * F.col("size")))
-    return trial_runs(draws.join(left.select("trial", "task_id", "i", "tokens"), ["trial", "task_id", "i"]), F.lit("with"), cost)
+    spare = F.col("size") - F.size("picks")
+    left = dealt(pool, trials, 2 * runs, seed).withColumns({"picks": F.when(spare >= 2, F.col("picks")).otherwise(F.array().cast("array<int>")), "left": F.when(spare >= 2, spare).otherwise(F.col("size"))})
+    draws = left.withColumn("run_no", F.explode(F.sequence(F.lit(2 * runs + 1), F.lit(3 * runs))))
+    draws = draws.withColumn("i", unpicked(F.floor(uniform(F.col("trial"), F.col("task_id"), F.col("run_no"), seed) * F.col("left")).cast("int"), F.col("picks")))
+    return trial_runs(draws.select("trial", "task_id", "run_no", "i").join(numbered(pool).select("task_id", "i", "tokens"), ["task_id", "i"]), F.lit("with"), cost)
 
 
 def numbered(pool: DataFrame) -> DataFrame:

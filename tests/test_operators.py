@@ -531,6 +531,39 @@ def test_grounded_replies_and_compression(spark):
     assert alike.reason == "near-duplicate of rule 3"
 
 
+def test_rewrites_meet_few_rules(spark, monkeypatch):
+    """Against all pairs; rewrites that are refused anyway, or whose size resembles no rule's, lead to no comparison."""
+    rng = random.Random(4)
+    rules = [(i, "a" if i % 2 else "b", " ".join(rng.choice(("read", "edit", "file", "once", "test")) for _ in range(rng.randint(4, 16))), "active" if i % 5 else "evicted", 0, 5, None) for i in range(90)]
+    asked = [(a, i, json.dumps({"body": rng.choice(rules)[2][: max(10, len(b) // 2)].strip()})) for i, a, b, *_ in rules]
+    df = spark.createDataFrame(rules, RULE + ", source_run long")
+    got = {r.rule_id: r.reason for r in similarity.compressed_rules(spark.createDataFrame(asked, "agent string, rule_id long, reply string"), df, 0.5).collect()}
+    want = {}
+    for (i, a, b, status, *_), (_, _, reply) in zip(rules, asked, strict=True):
+        new = json.loads(reply)["body"]
+        like = [k for k, o, c, *_ in rules if o == a and len(grams(new) & grams(c)) > 0.5 * len(grams(new) | grams(c))]
+        want[i] = "rule is evicted" if status == "evicted" else "too short to compress" if len(b) // 2 < 10 else "invalid rewrite" if len(new) < 10 else "not within half of the original" if len(new) > len(b) // 2 else f"near-duplicate of rule {min(like)}" if like else None
+    assert got == want and any(str(x).startswith("near") for x in want.values()) and None in want.values()
+    met = []
+    monkeypatch.setattr(similarity, "resembling", lambda new, known, threshold, f=similarity.resembling: met.append(new.count()) or f(new, known, threshold))
+    full = df.select("agent", F.col("id").alias("rule_id"), F.to_json(F.struct("body")).alias("reply"))
+    assert similarity.compressed_rules(full, df).filter("reason IS NULL").count() == 0 and met == [0]
+
+
+def test_a_shuffle_is_dealt_without_the_whole_pool(spark):
+    """Dealt runs are distinct and fair, a second pass draws from the others, and no step makes a row for each trial and run of the pool."""
+    pool = spark.createDataFrame([(f"t{i}", j, 1000 * i + j) for i, n in enumerate((3, 5, 8, 400)) for j in range(n)], "task_id string, row int, tokens int")
+    first, extra = (f(pool, 300).collect() for f in (resampling.permutation_trials, resampling.permutation_extra))
+    dealt, again = ({(c, t): [r.tokens for r in rows if (r.comparison_id, r.task_id) == (c, t)] for c in range(0, 300, 30) for t in ("t0", "t1", "t2", "t3")} for rows in (first, extra))
+    for (c, t), got in dealt.items():
+        assert len(set(got)) == len(got) == min(4, {"t0": 3, "t1": 5, "t2": 8, "t3": 400}[t]) and len(again[c, t]) == 2
+        assert t in ("t0", "t1") or not set(got) & set(again[c, t])
+    each = Counter(r.tokens for r in first if r.task_id == "t2")
+    assert len(each) == 8 and max(each.values()) < 200 and min(each.values()) > 100
+    plan = resampling.permutation_trials(pool, 300)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window" in x and "trial" in x for x in plan.split("\n"))
+
+
 def test_comparison_is_topped_up_once(spark):
     rows = [("c", s, f"t{i}", n, 1000 + 700 * ((i + n) % 3) - 30 * (s == "with"), True, 1) for i in range(3) for s in ("without", "with") for n in range(2)] + [("d", s, f"t{i}", n, 9000 - 5000 * (s == "with"), True, 1) for i in range(2) for s in ("without", "with") for n in range(2)]
     df = measures(spark, rows).withColumns({"cache_read": F.lit(10), "duration_ms": F.lit(500)})
