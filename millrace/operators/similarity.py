@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from millrace.functions.scalars import estimate_tokens
 from millrace.functions.text import ANTONYMS, compress_budget, content_words, directive_lines, is_negated, parsed_rewrite, too_short_to_compress, trigrams, words
 from millrace.sources.registry import settled
 
+#: Fixed: the widest signature, and how many rows a comparison of signatures holds on either side.
+MOST_BITS, BLOCK, SPAN = 1 << 17, 128, 1024
+
 
 def gram_classes(items: DataFrame, key: str = "id", text: str = "body") -> DataFrame:
     """key, rep: the smallest key among the items with the same set of trigrams. Any number of copies costs one row a partition."""
@@ -24,25 +30,94 @@ def gram_key(grams: Column) -> Column:
 def similar_pairs(items: DataFrame, threshold: float, key: str = "id", text: str = "body") -> DataFrame:
     """a, b (a < b), similarity of all pairs of representatives (``gram_classes``) whose Jaccard over trigrams exceeds ``threshold``; exact.
 
-    Grams are ordered rarest first and an item is listed under the first |A| - ceil(t|A|) + 1 only: two similar items share one of those. Pairs whose sizes, or the
-    places of the gram in both, leave too few grams to share aren't compared; survivors are compared in full.
+    Sets are compared by signatures first: bits that each hold the parity of the grams hashed to them, so two signatures differ in no more bits than their sets differ in
+    grams. Every pair of sizes that may resemble is tried, at some nanoseconds each; those that pass are compared in full.
     """
     all_ = items.select(F.col(key).alias("k"), trigrams(text).alias("g"))
-    sets = all_.groupBy(gram_key(F.col("g")).alias("c")).agg(F.min("k").alias("k"), F.any_value("g").alias("g")).select("k", "g", F.size("g").alias("n"))
-    grams = sets.select("k", "n", F.explode("g").alias("t"))
-    freq = grams.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    order = Window.partitionBy("k").orderBy("f", "t")
-    listed = grams.join(freq, "t").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("k", "n", "t", "r")
-    a, b = (listed.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), "t") for x in "ab")
-    # of the pair's shared grams the first in order passes if the pair is similar
-    left = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
-    near = (F.col("a") < F.col("b")) & (left * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6)
-    pairs = a.join(b, "t").filter(near).select("a", "b").distinct()
-    full = pairs.join(sets.select(F.col("k").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("k").alias("b"), F.col("g").alias("gb")), "b")
+    sets = settled(all_.groupBy(gram_key(F.col("g")).alias("c")).agg(F.min("k").alias("k"), F.any_value("g").alias("g")).select("k", "g"), "sets")
+    pairs = close_signatures(sets, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).transform(settled)
+    met = sets.join(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "k", "left_semi")
+    full = pairs.join(met.select(F.col("k").alias("a"), F.col("g").alias("ga")), "a").join(met.select(F.col("k").alias("b"), F.col("g").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
     return full.select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("similarity")).filter(F.col("similarity") > threshold)
 
 
+def close_signatures(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: every pair of sets (k, g) whose Jaccard may exceed ``threshold`` by their signatures, once in either order.
+
+    A signature has a power of two of bits, twice the grams at least; halves of it combined give the narrower one. Signatures and keys, about a quarter byte a gram and 32
+    bytes at least a set, go through the driver to all executors.
+    """
+    spark, kind = sets.sparkSession, sets.schema["k"].dataType
+    at = sets.filter("g IS NOT NULL").select("k", F.transform("g", lambda x: F.pmod(F.xxhash64(x), F.lit(MOST_BITS)).cast("int")).alias("p"))
+    got = at.mapInArrow(signed, StructType([StructField("k", kind), StructField("n", IntegerType()), StructField("s", BinaryType())])).toArrow()
+    n = got["n"].to_numpy().astype(np.int32)
+    order = np.argsort(n, kind="stable")
+    keys, n, raw = got["k"].take(pa.array(order)).combine_chunks(), n[order], got["s"].take(pa.array(order))
+    width = np.fromiter((len(x.as_py()) // 8 for x in raw), np.int32, len(raw))
+    # widths grow with sizes, so those of one width lie together
+    starts = {int(w): int(np.searchsorted(width, w)) for w in np.unique(width)}
+    words = {w: np.frombuffer(b"".join(raw[s : s + int((width == w).sum())].to_pylist()), np.uint64).reshape(-1, w) for w, s in starts.items()}
+    blocks = [(w, i) for w in words for i in range(0, len(words[w]), BLOCK)]
+    shared = spark.sparkContext.broadcast((n, starts, words, blocks, keys))
+
+    def compare(batches):
+        n, starts, words, blocks, keys = shared.value
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                w, at = blocks[b]
+                for i, j in near_rows(n, starts, words, w, at, threshold):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j))], names=["a", "b"])
+
+    tasks = spark.range(0, len(blocks), 1, max(1, min(len(blocks), 512)))
+    return tasks.mapInArrow(compare, StructType([StructField("a", kind), StructField("b", kind)]))
+
+
+def signed(batches):
+    """k, n and the signature of each set (k, p: its grams' places)."""
+    for batch in batches:
+        n, out = [], []
+        for p in batch.column(1):
+            x = p.values.to_numpy()
+            bits = min(MOST_BITS, max(256, 1 << (2 * len(x) - 1).bit_length()))
+            out.append(np.packbits((np.bincount(x & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes())
+            n.append(len(x))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.binary())], names=["k", "n", "s"])
+
+
+def halved(x: np.ndarray) -> np.ndarray:
+    return x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+
+
+def near_rows(n, starts, words, w: int, at: int, threshold: float):
+    """Rows (i < j, by size) with i in the block ``at`` of width ``w``, whose signatures differ in as few bits as those of sets beyond ``threshold`` may."""
+    share = (1 - threshold) / (1 + threshold)
+    own = words[w][at : at + BLOCK]
+    base = starts[w] + at
+    most = n[base + len(own) - 1] / threshold if threshold > 0 else np.inf
+    for v, other in words.items():
+        if v < w:
+            continue
+        begin = max(0, base + 1 - starts[v])
+        end = int(np.searchsorted(n[starts[v] : starts[v] + len(other)], most, side="right"))
+        for c in range(begin, end, SPAN):
+            part = other[c : min(c + SPAN, end)]
+            while part.shape[1] > w:
+                part = halved(part)
+            i, j = base + np.arange(len(own)), starts[v] + c + np.arange(len(part))
+            limit = np.floor((n[i][:, None] + n[j][None, :]) * share + 1e-9).astype(np.int32)
+            x, y = (halved(own), halved(part)) if w > 4 else (own, part)
+            diff = np.zeros(limit.shape, np.int32)
+            for k in range(x.shape[1]):
+                diff += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+            p, q = np.nonzero((diff <= limit) & (i[:, None] < j[None, :]) & (n[i][:, None] > threshold * n[j][None, :] - 1e-6))
+            if w > 4 and len(p):
+                fine = np.bitwise_count(own[p] ^ part[q]).sum(axis=1, dtype=np.int32) <= limit[p, q]
+                p, q = p[fine], q[fine]
+            if len(p):
+                yield i[p], j[q]
+
+
 def similar_classes(items: DataFrame, threshold: float, key: str = "id", text: str = "body") -> DataFrame:
     """key, rep, links: each item's representative, and how many other representatives that one resembles."""
     pairs = similar_pairs(items, threshold, key, text)
@@ -56,9 +131,9 @@ def greedy_dedup(items: DataFrame, threshold: float, key: str = "id", text: str
     Items with the same trigrams are folded first. One is settled once all similar ones before it are settled: kept if none of them
     is kept. Rounds go on until all are settled, each from a written table.
     """
-    base = items.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("x"), gram_key(trigrams(text)).alias("c"))
+    base = settled(items.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("x"), gram_key(trigrams(text)).alias("c")), "base")
     first = base.groupBy("c").agg(F.min_by("k", F.struct("o", "k")).alias("lead"))
-    lead = base.select("k", "o", "x", "c").join(first, "c").select("k", "o", "x", "lead")
+    lead = settled(base.select("k", "o", "x", "c").join(first, "c").select("k", "o", "x", "lead"), "leads")
     ones = lead.filter("k = lead")
     pairs = similar_pairs(ones, threshold, "k", "x")
     at = ones.select("k", F.struct("o", "k").alias("p"))

@@ -395,6 +395,21 @@ def test_similar_pairs(spark, bodies):
     assert classes == {i: (rep[i], sum(rep[i] in p for p in want)) for i, _ in bodies} and any(rep[i] != i for i in rep)
 
 
+def test_signatures_of_all_widths(spark):
+    """Sets of 1 to some thousand trigrams, near copies among them: all pairs by brute force, while few pairs pass the signatures. A long text's trigrams take one pass."""
+    rng = random.Random(8)
+    texts = {i: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)) for i, n in enumerate((0, 1, 2, 5, 9, 20, 30, 60, 61, 90, 130, 200, 260, 700))}
+    texts |= {i + 50: x[: len(x) * 9 // 10] + " tail" for i, x in texts.items()} | {i + 100: x[: len(x) * 7 // 10] for i, x in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "id int, body string")
+    want = {(i, j) for i in texts for j in texts if i < j and grams(texts[i]) != grams(texts[j]) and jaccard(texts[i], texts[j]) > 0.6}
+    assert {(r.a, r.b) for r in similarity.similar_pairs(df, 0.6).collect()} == want and len(want) > 20
+    sets = df.select(F.col("id").alias("k"), X.trigrams("body").alias("g"))
+    met = {(min(r), max(r)) for r in similarity.close_signatures(sets, 0.6).collect()}
+    assert want <= met and len(met) < len(want) + 20
+    long = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    assert set(spark.createDataFrame([(long,)], "t string").select(X.trigrams("t")).first()[0]) == grams(long)
+
+
 def test_greedy_dedup(spark, bodies):
     got = {r.id: r.kept for r in similarity.greedy_dedup(spark.createDataFrame(bodies, "id int, body string"), 0.6).collect()}
     kept = []
