@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.scalars import estimate_tokens
 from millrace.functions.text import csv_to_text, html_to_text, strip_bom, trimmed
 
 #: Fixed: a section of up to 1200 tokens is one chunk; longer ones are cut to windows that overlap by 80.
 SECTION_TOKENS, OVERLAP_TOKENS = 1200, 80
+#: Characters of chunks that leave a Python worker together.
+BATCH_CHARS = 8_000_000
 SIZE, STEP = 4 * SECTION_TOKENS, 4 * (SECTION_TOKENS - OVERLAP_TOKENS)
+#: Blanks, ends of lines and the end of a text as Java's patterns have them.
+BLANKS, ODD_ENDS = " \t\n\x0b\x0c\r", ("\x85", "\u2028", "\u2029")
+END = r"(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)"
+TRIM, STOPPED, CAPS = re.compile(rf"\A[{BLANKS}]+|[{BLANKS}]+{END}"), re.compile(rf"[.!?]{END}"), re.compile(r"[A-Z]{3}")
+ATX = re.compile(rf"(#{{1,6}})[{BLANKS}]+([^\n\r\x85\u2028\u2029]*[^{BLANKS}])[{BLANKS}]*{END}")
+ITEM = re.compile(r"(?i)(item|part)\s+[0-9ivx]+", re.ASCII)
 FORMATS = ("md", "markdown", "txt", "text", "csv", "html", "htm")
 SUITE = (
     "questions array<struct<id:string,type:string,question:string,expect:struct<value:double,unit:string,period:string>,must_cite_doc:string,"
@@ -54,47 +66,87 @@ def suite_hash(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.substring(F.sha2(F.array_join(F.transform(listed, lambda t: F.concat_ws("\x00", t["id"], t["prompt"], t["c"])), "\x00"), 256), 1, 12).alias("hash"))
 
 
+def headings_in(text: str) -> list[tuple[int, int, str]]:
+    """(start, depth, title) of a text's headings: ATX headings, then filing items and parts, then lines in capitals."""
+    out, start = [], 0
+    for line in text.split("\n"):
+        t = TRIM.sub("", line) if line[-1:] in ODD_ENDS else line.strip(BLANKS)
+        if t:
+            atx = ATX.match(t) if t[0] == "#" else None
+            if atx:
+                out.append((start, len(atx[1]), atx[2]))
+            elif t[0] in "IiPp" and ITEM.match(t):
+                out.append((start, 1, t))
+            elif 4 <= len(t) <= 80 and CAPS.search(t) and t == t.upper() and not STOPPED.search(t):
+                out.append((start, 2, t))
+        start += len(line) + 1
+    return out
+
+
+def sections_in(text: str) -> list[tuple[int, list[str]]]:
+    """(start, path) of a text's sections: the path is the heading after its nearest shallower ones, outermost first; text before the first heading has none."""
+    out, above = [], []
+    for start, depth, title in headings_in(text):
+        above = [*(h for h in above if h[0] < depth), (depth, title)]
+        out.append((start, [h[1] for h in above]))
+    # a heading at 0 takes the place of the text before it
+    return out if out and out[0][0] == 0 else [(0, []), *out]
+
+
+def pieces_in(text: str) -> list[tuple[list[str], int, int]]:
+    """(path, start, end) of a text's chunks in order, blank ones left out."""
+    sections, out = sections_in(text), []
+    for (start, path), end in zip(sections, [*(x[0] for x in sections[1:]), len(text)], strict=True):
+        if end - start <= SIZE:
+            cuts = [(start, end)]
+        else:
+            # a window is kept unless the one before it reached the end
+            cuts = [(p, min(p + SIZE, end)) for p in range(start, end, STEP) if p == start or p - STEP + SIZE < end]
+        out += [(path, p, q) for p, q in cuts if text[p:q].strip(BLANKS)]
+    return out
+
+
 def headings(docs: DataFrame) -> DataFrame:
     """doc_id, start (offset from 0), depth, title: ATX headings, then filing items and parts, then lines in capitals."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    t = trimmed(F.col("line"))
-    atx = F.regexp_extract("t", r"^(#{1,6})\s+(.*\S)\s*$", 1)
-    item = F.col("t").rlike(r"(?i)^(item|part)\s+[0-9ivx]+[.:)]?\s*")
-    caps = F.length("t").between(4, 80) & (F.col("t") == F.upper("t")) & F.col("t").rlike("[A-Z]{3}") & ~F.col("t").rlike(r"[.!?]$")
-    depth = F.when(atx != "", F.length(atx)).when(item, 1).when(caps, 2)
-    title = F.when(atx != "", F.regexp_extract("t", r"^(#{1,6})\s+(.*\S)\s*$", 2)).otherwise(F.col("t"))
-    at = F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))
-    return lines.select("doc_id", at.alias("start"), t.alias("t")).select("doc_id", "start", depth.alias("depth"), title.alias("title")).filter("depth IS NOT NULL")
-
-
-def trails(heads: DataFrame) -> DataFrame:
-    """doc_id and the sections: start, path (the heading after its nearest shallower ones, outermost first)."""
-    ordered = F.sort_array(F.collect_list(F.struct("start", "depth", "title")))
-    step = lambda a, h: F.struct(
-        F.concat(F.filter(a["open"], lambda o: o["depth"] < h["depth"]), F.array(F.struct(h["depth"].alias("depth"), h["title"].alias("title")))).alias("open"),
-        F.concat(a["out"], F.array(F.struct(h["start"].alias("start"), F.concat(F.transform(F.filter(a["open"], lambda o: o["depth"] < h["depth"]), lambda o: o["title"]), F.array(h["title"])).alias("path")))).alias("out"),
-    )
-    zero = F.struct(F.array().cast("array<struct<depth:int,title:string>>").alias("open"), F.array().cast("array<struct<start:bigint,path:array<string>>>").alias("out"))
-    return heads.groupBy("doc_id").agg(ordered.alias("h")).select("doc_id", F.explode(F.aggregate("h", zero, step)["out"]).alias("s")).select("doc_id", "s.*")
+
+    def work(batches):
+        for b in batches:
+            found = [(i, *h) for i, text in enumerate(b.column("text").to_pylist()) for h in headings_in(text or "")]
+            at, starts, depths, titles = zip(*found, strict=True) if found else ((), (), (), ())
+            cols = [pa.array(starts, pa.int64()), pa.array(depths, pa.int32()), pa.array(titles, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *cols], ["doc_id", "start", "depth", "title"])
+
+    more = StructType.fromDDL("start long, depth int, title string")
+    return docs.select("doc_id", "text").mapInArrow(work, StructType([docs.schema["doc_id"], *more]))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, chunk_id, ordinal, section_path, text, char_start, char_end, tokens. Blank documents and pieces give none.
+    """doc_id, chunk_id, ordinal, section_path, text, char_start, char_end, tokens. Blank documents and pieces give none; doc_id is a key, and rows without one give none.
 
-    Text before the first heading is a section without a path, as is a document without headings.
+    Text before the first heading is a section without a path, as is a document without headings. Each text is cut where it lies: offsets are sums over its lines, which
+    built-in functions have only by sorting all lines of all texts.
     """
-    full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(trimmed(F.coalesce("text", F.lit(""))) != "")
-    sections = trails(headings(full)).unionByName(full.select("doc_id", F.lit(0).cast("long").alias("start"), F.array().cast("array<string>").alias("path")))
-    # a heading at 0 takes the place of the text before it
-    first = sections.groupBy("doc_id", "start").agg(F.max_by("path", F.size("path")).alias("path"))
-    w = Window.partitionBy("doc_id").orderBy("start")
-    spans = first.withColumn("next", F.lead("start").over(w)).join(full, "doc_id").withColumn("end", F.coalesce("next", F.length("text").cast("long")))
-    slice_ = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
-    whole = estimate_tokens(slice_(F.col("start"), F.col("end"))) <= SECTION_TOKENS
-    # a window is kept unless the one before it reached the end
-    starts = F.when(whole, F.array("start")).otherwise(F.filter(F.sequence("start", F.col("end") - 1, F.lit(STEP)), lambda p: (p == F.col("start")) | (p - STEP + SIZE < F.col("end"))))
-    cut = spans.filter("end > start").withColumn("p", F.explode(starts)).withColumn("q", F.when(whole, F.col("end")).otherwise(F.least(F.col("p") + SIZE, F.col("end"))))
-    piece = cut.select("doc_id", F.col("path").alias("section_path"), F.col("p").alias("char_start"), F.col("q").alias("char_end"), slice_(F.col("p"), F.col("q")).alias("text"))
-    piece = piece.filter(trimmed(F.col("text")) != "").withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("char_start")) - 1)
+
+    def work(batches):
+        for b in batches:
+            at, size, rows = [], 0, []
+
+            def batch():
+                cols = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64()), strict=True)]
+                return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *cols], ["doc_id", "ordinal", "section_path", "text", "char_start", "char_end"])  # noqa: B023
+
+            for i, text in enumerate(b.column("text")):
+                text = text.as_py()
+                for k, (path, p, q) in enumerate(pieces_in(text) if text else ()):
+                    at.append(i)
+                    rows.append((k, path, text[p:q], p, q))
+                    size += q - p
+                if size > BATCH_CHARS:
+                    yield batch()
+                    at, size, rows = [], 0, []
+            if rows:
+                yield batch()
+
+    more = StructType.fromDDL("ordinal int, section_path array<string>, text string, char_start long, char_end long")
+    piece = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(work, StructType([docs.schema["doc_id"], *more]))
     return piece.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("ordinal").cast("string")).alias("chunk_id"), "ordinal", "section_path", "text", "char_start", "char_end", estimate_tokens("text").alias("tokens"))
